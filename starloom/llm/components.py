@@ -1,0 +1,44 @@
+"""Connected components of an edge table, by alternating large and small stars.
+
+Each round is a grouped minimum and a join, so a node with very many
+neighbours is pre-aggregated and its edges can be split among tasks; nothing
+is collected. Every round is written to the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from starloom.llm.common import materialize
+
+
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """One round over edges (hi, lo), hi > lo: every node hands its least neighbour on."""
+    if large:
+        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        out = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+    else:
+        least = edges.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        moved = edges.join(least, edges["hi"] == least["u"]).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        out = moved.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
+    return out.where("hi <> lo").distinct()
+
+
+def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+    """(node, component) for every node with a link; component is its least node.
+
+    Loops and repeated edges are allowed, null ends are not links. No edges:
+    empty result.
+    """
+    pairs = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
+    now = materialize(pairs.select(F.greatest(left, right).alias("hi"), F.least(left, right).alias("lo")).distinct(), "edges")
+    signature = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")).alias("h"))
+    seen = now.agg(signature.alias("s")).first()["s"]
+    while seen["n"]:
+        now = materialize(_stars(_stars(now, True), False), "stars")
+        then, seen = seen, now.agg(signature.alias("s")).first()["s"]
+        if then == seen:
+            break
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
