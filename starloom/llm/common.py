@@ -7,6 +7,7 @@ by :mod:`pyarrow.fs`, so a lost executor never takes intermediate data along.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -35,7 +36,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    release(df.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def short_batches(spark: SparkSession) -> None:
