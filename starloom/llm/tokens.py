@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
@@ -21,7 +22,9 @@ PADDED = re.compile(r"\s \s|  | \s|\s \Z| \Z")
 #: Letters, maybe punctuation, maybe a line break and the same again: pre-tokens end where these groups end.
 LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 SHAPE = re.compile(rf"({LETTERS})([.,;:!?#$%&*|]+)?(?:(\n)({LETTERS})([.,;:!?#$%&*|]+)?)?")
-MEMO_WORDS, MEMO_PIECES = 800_000, 800_000
+#: Letter runs are dear to encode and kept longest; words put together from parts are cheap to redo.
+MEMO_RUNS, MEMO_WORDS = 1_100_000, 400_000
+LONGEST = 64
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -37,39 +40,39 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in printable else next(free)) for b in range(256)}
 
 
-class _Pieces(dict):
-    """Pre-token to the bytes of its ids."""
-
-    def __init__(self, spec: dict):
-        from tokenizers import Tokenizer
+class _Runs(dict):
+    """Letter run or punctuation, after ``lead``, to the bytes of its ids."""
 
+    def __init__(self, encode, lead: str):
         super().__init__()
-        bare = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
-        self.encode, self.letters = bare.encode, byte_letters()
+        self.encode, self.lead, self.letters = encode, lead, byte_letters()
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_PIECES:
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= MEMO_RUNS:
             self.clear()
-        stand_in = piece.encode().decode("latin-1").translate(self.letters)
-        ids = self[piece] = np.asarray(self.encode(stand_in, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        lead = self.letters[ord(self.lead)] if self.lead else ""
+        stand_in = run if run.isascii() and run != "\n" else run.encode().decode("latin-1").translate(self.letters)
+        ids = self[run] = array("I", self.encode(lead + stand_in, add_special_tokens=False).ids).tobytes()
         return ids
 
 
 class _Words(dict):
     """Word without its leading space to the bytes of its ids."""
 
-    def __init__(self, whole, pieces: _Pieces, lead: str):
+    def __init__(self, whole, runs: _Runs, bare: _Runs, lead: str):
         super().__init__()
-        self.whole, self.pieces, self.lead = whole, pieces, lead
+        self.whole, self.runs, self.bare, self.lead = whole, runs, bare, lead
 
     def __missing__(self, word: str) -> bytes:
-        shape = SHAPE.fullmatch(word) if len(word) <= 64 else None
+        if word.isascii() and word.isalpha() and len(word) <= LONGEST:
+            return self.runs[word]
+        shape = SHAPE.fullmatch(word) if len(word) <= LONGEST else None
         if shape:
             first, *more = shape.groups()
-            ids = self.pieces[self.lead + first] + b"".join([self.pieces[x] for x in more if x])
+            ids = self.runs[first] + b"".join([self.bare[x] for x in more if x])
         else:
-            ids = np.asarray(self.whole(self.lead + word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
+            ids = array("I", self.whole(self.lead + word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONGEST:
             if len(self) >= MEMO_WORDS:
                 self.clear()
             self[word] = ids
@@ -85,16 +88,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            pieces = _Pieces(json.load(f))
-        self.first = _Words(self.tokenizer.encode, pieces, "")
-        self.rest = _Words(self.tokenizer.encode, pieces, " ")
+            spec = json.load(f)
+        # the same model for single pre-tokens, spelled in byte letters
+        inner = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []})).encode
+        bare, spaced = _Runs(inner, ""), _Runs(inner, " ")
+        self.first = _Words(self.tokenizer.encode, bare, bare, "")
+        self.rest = _Words(self.tokenizer.encode, spaced, bare, " ")
 
     def encode_bytes(self, text: str | None) -> bytes:
         if not text:
             return b""
         words = CUT.split(text) if PADDED.search(text) else text.split(" ")
         head = self.first[words[0]]
-        return head + b"".join(map(self.rest.__getitem__, words[1:])) if len(words) > 1 else head
+        if len(words) == 1:
+            return head
+        # letter runs are met first in their own memo, everything else goes through the words
+        runs, rest = self.rest.runs.get, self.rest
+        return head + b"".join([runs(w) or rest[w] for w in words[1:]])
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4")
