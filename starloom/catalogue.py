@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from starloom.plans import clustering, fields, tables, views
+
+__all__ = ["clustering", "fields", "flagship", "oracle_sql", "queries", "tables"]
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """Correlation multipoles of density quantiles with the catalog."""
+    return fields.density_split_cross(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(views.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(views.SQL)
