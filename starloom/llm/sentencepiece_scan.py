@@ -18,8 +18,9 @@ only unbroken stretches longer than a chunk have full matrices.
 
 The public model file was trained as byte-pair merges. Merge order isn't a
 highest-sum path, so this operator reads the file's pieces and scores as a
-unigram model: its ids are those of the SentencePiece unigram encoder over the
-same pieces, not those of the merge encoder. See the README.
+unigram model: its ids are the best path of the unigram lattice over the same
+pieces (what the library's n-best decoder gives), not those of the merge
+encoder. See the README.
 
 Defined results for odd input: null and empty texts have no ids (and decode to
 empty); characters without a piece become byte pieces, or the unknown id where
