@@ -7,11 +7,14 @@ by :mod:`pyarrow.fs`, so a lost executor never takes intermediate data along.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +38,24 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     release(df.sparkSession)
     return out
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished jobs now rather than at some later collection.
+
+    A job that has just ended is still referred to by events on their way to
+    the listeners, so these are awaited first; files go in the background.
+    """
+    with contextlib.suppress(Py4JError):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def short_batches(spark: SparkSession) -> None:
