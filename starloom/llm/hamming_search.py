@@ -73,7 +73,8 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, *, segments:
         probes = open_.select("q", "worst", F.explode(parts(F.col("q"))).alias("p"))
         probes = probes.select("q", "worst", "p.s", F.explode(F.transform(flips, lambda m: m.bitwiseXOR(F.col("p.v")))).alias("v"))
         d = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        met = probes.join(index, ["s", "v"]).where(d <= F.col("worst")).select("q", "code", "n", "least", d.alias("d"))
+        # exploded probes look small to the planner, which knows only the table they come from: never broadcast them
+        met = probes.join(index.hint("merge"), ["s", "v"]).where(d <= F.col("worst")).select("q", "code", "n", "least", d.alias("d"))
         pool = met if best is None else met.unionByName(best)
         pool = pool.distinct().withColumn("_r", F.row_number().over(by_rank)).where(F.col("_r") <= k + 1).drop("_r")
         pool = materialize(pool, f"radius{r}")
