@@ -91,7 +91,8 @@ def hamming_links(codes: DataFrame, *, radius: int = 3, segments: int = 2, code_
     probes = distinct.select(code.alias("a"), F.explode(F.array(*[F.struct(F.lit(i).alias("s"), segment(i).alias("v")) for i in range(segments)])).alias("k"))
     probes = probes.select("a", "k.s", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("k.v")))).alias("v"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return probes.join(index, ["s", "v"]).where(near).select("a", "b").distinct()
+    # exploded probes look small to the planner, which knows only the table they come from: never broadcast them
+    return probes.join(index.hint("merge"), ["s", "v"]).where(near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
