@@ -35,12 +35,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+def materialize(df: DataFrame, label: str, *, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    ``free`` drops the shuffle files behind it at once; worth it for large tables.
+    """
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    release(df.sparkSession)
+    if free:
+        release(df.sparkSession)
     return out
 
 
