@@ -58,21 +58,20 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
     Boruvka's rounds: every component picks its lightest edge to another one;
     the number of components at least halves each round.
     """
-    order = F.struct("w", "src", "dst")
     base = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("w").alias("w"))
-    base = cut_lineage(base, "weights")
-    live = base.select("src", "dst", "w", F.col("src").alias("ca"), F.col("dst").alias("cb"))
-    tree = None
-    while True:
-        sides = live.select(F.col("ca").alias("c"), order.alias("e")).unionByName(live.select(F.col("cb").alias("c"), order.alias("e")))
-        picked = cut_lineage(sides.groupBy("c").agg(F.min("e").alias("e")).select("e.src", "e.dst", "e.w").distinct(), "picked")
-        if picked.isEmpty():
-            break
-        tree = picked if tree is None else cut_lineage(tree.unionByName(picked).distinct(), "forest")
-        names = components(tree)
-        a, b = names.select(F.col("node").alias("src"), F.col("component").alias("ca")), names.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
-        live = cut_lineage(base.join(a, "src").join(b, "dst").where("ca <> cb").select("src", "dst", "w", "ca", "cb"), "live")
-    return tree if tree is not None else base
+    live = cut_lineage(base.select("src", "dst", "w", F.col("src").alias("ca"), F.col("dst").alias("cb")), "live")
+    whole = F.struct("w", "src", "dst", "ca", "cb")
+    tree = live.select("src", "dst", "w").limit(0)
+    while not live.isEmpty():
+        sides = live.select(F.col("ca").alias("c"), whole.alias("e")).unionByName(live.select(F.col("cb").alias("c"), whole.alias("e")))
+        picked = cut_lineage(sides.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct(), "picked")
+        tree = tree.unionByName(picked.select("src", "dst", "w"))
+        # only the components of this round are merged, so rounds shrink geometrically
+        names = components(picked, "ca", "cb")
+        a, b = names.toDF("ca", "na"), names.toDF("cb", "nb")
+        merged = live.join(a, "ca").join(b, "cb").where("na <> nb")
+        live = cut_lineage(merged.select("src", "dst", "w", F.col("na").alias("ca"), F.col("nb").alias("cb")), "live")
+    return tree
 
 
 def tree_paths(tree: DataFrame, steps: int) -> DataFrame:
