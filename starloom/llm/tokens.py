@@ -23,7 +23,7 @@ PADDED = re.compile(r"\s \s|  | \s|\s \Z| \Z")
 LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 SHAPE = re.compile(rf"({LETTERS})([.,;:!?#$%&*|]+)?(?:(\n)({LETTERS})([.,;:!?#$%&*|]+)?)?")
 #: Letter runs are dear to encode and kept longest; words put together from parts are cheap to redo.
-MEMO_RUNS, MEMO_WORDS = 1_100_000, 400_000
+MEMO_RUNS, MEMO_WORDS = 1_100_000, 600_000
 LONGEST = 64
 
 
@@ -64,15 +64,18 @@ class _Words(dict):
         self.whole, self.runs, self.bare, self.lead = whole, runs, bare, lead
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha() and len(word) <= LONGEST:
+        if len(word) <= LONGEST and word.isascii() and word.isalpha():
             return self.runs[word]
-        shape = SHAPE.fullmatch(word) if len(word) <= LONGEST else None
-        if shape:
+        body, last = word[:-1], word[-1:]
+        short = len(word) <= LONGEST
+        if short and last in ".,;:!?" and body.isascii() and body.isalpha():
+            ids = self.runs[body] + self.bare[last]
+        elif short and (shape := SHAPE.fullmatch(word)):
             first, *more = shape.groups()
             ids = self.runs[first] + b"".join([self.bare[x] for x in more if x])
         else:
             ids = array("I", self.whole(self.lead + word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= LONGEST:
+        if short:
             if len(self) >= MEMO_WORDS:
                 self.clear()
             self[word] = ids
