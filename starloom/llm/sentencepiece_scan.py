@@ -123,6 +123,8 @@ class PieceModel:
             self.table[self.pieces[i]] = (self.scores[i], i)
         self.space_leads = not any(SPACE in self.pieces[i].lstrip(SPACE) for i in usable)
         self.memo: dict = {}
+        #: What each id adds to the bytes of a decoded text; control pieces add nothing (kinds are fixed by the format).
+        self.spelled = [bytes([int(p[3:5], 16)]) if k == 6 else " ⁇ ".encode() if k == 2 else b"" if k == 3 else p.encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
     def normalize(self, text: str | None) -> str:
         """Spaces as the space letter, one before the text if the model asks for it."""
@@ -306,16 +308,7 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, bytes gathered, space letters as spaces."""
-        out: list[bytes] = []
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == 6:
-                out.append(bytes([int(self.pieces[i][3:5], 16)]))
-            elif kind not in (2, 3):
-                out.append(self.pieces[i].encode())
-            elif kind == 2:
-                out.append(" ⁇ ".encode())
-        text = b"".join(out).decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
