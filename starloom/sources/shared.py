@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one is set only where none is named."""
+    """The folder named in ``spark.checkpoint.dir``; a local one only where none is named, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
