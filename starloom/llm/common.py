@@ -23,11 +23,10 @@ ARROW_ROWS = "256"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors; a local one is set only where none is named."""
+    """Folder shared by all executors; a local one only where none is named, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
