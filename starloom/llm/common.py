@@ -37,9 +37,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str, *, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    ``free`` drops the shuffle files behind it at once; worth it for large tables.
+    ``free`` drops the shuffle files before and behind it; worth it for large tables.
     """
     path = fresh_path(df.sparkSession, label)
+    if free:
+        release(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     if free:
