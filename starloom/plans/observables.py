@@ -30,11 +30,10 @@ def parent_normalisation(spark, sf_dir):
     return out.select("cosmo_idx", "hod_idx", "ell", "s", F.round("value", 8).alias("value"))
 
 
-@query(f"with {MEASUREMENTS} select cosmo_idx, hod_idx, ell, s, round(value * pow(70.0, ell) , 2) as value from measurements where s in (1, 5, 9)")
+@query(f"with {MEASUREMENTS} select cosmo_idx, hod_idx, ell, s, value * pow(70.0, ell) as value from measurements where s in (1, 5, 9)")
 def rescaled_functionals(spark, sf_dir):
     """Orders multiplied by powers of a length on chosen thresholds."""
-    out = observables.scale_orders(measurements(spark, sf_dir).where(F.col("s").isin(1, 5, 9)), "ell", 70.0)
-    return out.withColumn("value", F.round("value", 2))
+    return observables.scale_orders(measurements(spark, sf_dir).where(F.col("s").isin(1, 5, 9)), "ell", 70.0)
 
 
 @query(f"with {MEASUREMENTS}, t as (select *, value / max(value) over () as cdf from measurements), k as (select ell, s from t group by all having avg(cdf) > 0.45 and avg(cdf) < 0.55) select cosmo_idx, hod_idx, ell, s, value from t join k using (ell, s)")
