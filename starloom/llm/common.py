@@ -15,7 +15,7 @@ import time
 import uuid
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handed to Python: texts can be long, so batches are short.
@@ -49,6 +49,16 @@ def materialize(df: DataFrame, label: str, *, free: bool = False) -> DataFrame:
     return out
 
 
+def numbered(docs: DataFrame, label: str = "rows") -> DataFrame:
+    """``docs`` written with a number of each row, ``_row``, which is unique, never null and stays as written."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), label, free=True)
+
+
+def row_place(id_col: str, text_col: str) -> Column:
+    """Sorts numbered rows by id, nulls last, then by a hash of the text, then by number; never null, different for every row."""
+    return F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col("_row").alias("row"))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now rather than at some later collection.
 

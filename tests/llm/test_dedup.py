@@ -85,6 +85,16 @@ def test_dedup_lines_changes_texts(spark):
     assert got == {1: (f"{line}\nfirst", len(line) + 6), 2: ("second", 6), 4: (None, 0), 5: ("", 0), 6: ("\nkeep\n", 6)}
 
 
+def test_dedup_lines_judges_rows_of_one_id_apart(spark):
+    rows = [(1, "X"), (None, "X\nA"), (None, "B\nY"), (7, "same"), (7, "same"), (8, "p\nq"), (8, "p\nr"), (None, None), (None, "A")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in linededup.dedup_lines(docs).collect()]
+    lines = sorted(x for _, t in got for x in (t or "").split("\n") if x)
+    assert lines == ["A", "B", "X", "Y", "p", "q", "r", "same"]
+    assert (1, "X") in got and (None, "B\nY") in got and (None, "A") in got and (7, "same") in got and (None, None) in got
+    assert sorted(len(t.split("\n")) for i, t in got if i == 8) == [1, 2]
+
+
 def test_lines_odd_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert linededup.dedup_lines(empty).count() == 0
