@@ -38,6 +38,14 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
 
 
+def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (5, a), (5, a), (5, c), (6, c), (2, d), (5, d), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect()))
+    assert got == [(0, ""), (0, b), (2, d), (5, a), (5, c)]
+
+
 def test_registration():
     numbers = sorted(int(m[1]) for k in __spark_entry__.queries() if (m := re.match(r"op(\d+)_", k)))
     assert numbers == list(range(1, 11)) and "pipeline" in queries.queries()
