@@ -2,6 +2,7 @@
 
 import ast
 import pathlib
+import random
 import re
 
 import corpus_pipeline
@@ -46,6 +47,25 @@ def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
     assert got == [(0, ""), (0, b), (2, d), (5, a), (5, c)]
 
 
+def test_near_dedup_finds_planted_similarities(spark):
+    rng = random.Random(3)
+    rows, gone = [], set()
+    for i, n in enumerate([1, 4, 6, 8, 10, 20] * 4):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(404)]
+        # 400 shingles; every changed word that stands alone takes 5: at n changes similarity is (400 - 5 n) / (400 + 5 n)
+        other = list(words)
+        for k in range(n):
+            other[6 + 9 * k] += "x"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        a, b = ({tuple(t[j : j + 5]) for j in range(400)} for t in (words, other))
+        if len(a & b) / len(a | b) >= 0.8:
+            gone.add(2 * i + 1)
+    assert len(gone) == 16
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows} - gone
+
+
 def test_registration():
     numbers = sorted(int(m[1]) for k in __spark_entry__.queries() if (m := re.match(r"op(\d+)_", k)))
     assert numbers == list(range(1, 11)) and "pipeline" in queries.queries()
