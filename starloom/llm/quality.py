@@ -10,8 +10,10 @@ Defined results for odd input
                    calibrated score at that point (never null)
     long texts     compressed whole
     repeated rows  each row is scored by itself, equal texts score equally
-    empty table    empty result; without labels of both classes the score is
-                   the share of good labels (0.5 without any label)
+    empty table    empty result; without a labelled text of each class the score
+                   is the share of good labels (0.5 without any label)
+    few labels     any number from one text a class on is used; a single text
+                   serves as dictionary and for calibration
     extra columns  kept by :func:`score_quality`; a clash with ``score_col`` is
                    resolved in favour of the new column
 """
@@ -79,24 +81,26 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, ma
     import numpy as np
     import zstandard as zstd
 
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.length("_t") >= 1)
     marks = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
         .where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (F.crc32(F.col("_id").cast("string").cast("binary")) % holdout != 0))
+        .join(texts.select("_id", (F.length("_t") > max_chars).alias("_long")), "_id")
         .groupBy("_id")
-        .agg(F.max("_y").alias("_y"))
+        .agg(F.max("_y").alias("_y"), F.min("_long").alias("_long"))
     )
     order = [F.xxhash64("_id", F.lit("quality")), F.col("_id")]
     picked = None
     for y in (0, 1):
-        part = marks.where(F.col("_y") == y).orderBy(*order).limit(per_class)
+        part = marks.where(F.col("_y") == y).orderBy("_long", *order).limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.length("_t").between(1, max_chars))
-    # at most 2 * per_class rows of two numbers: a size fixed by the parameter
-    rows = texts.join(F.broadcast(picked), "_id").dropDuplicates(["_id"]).orderBy(*order).collect()
+    # at most 2 * per_class rows of a few numbers: a size fixed by the parameter
+    rows = texts.join(F.broadcast(picked), "_id").where((F.length("_t") > max_chars) == F.col("_long"))
+    rows = rows.select("_id", "_y", F.substring("_t", 1, max_chars).alias("_t")).dropDuplicates(["_id"]).orderBy(*order).collect()
     split = {y: [r["_t"].encode() for r in rows if r["_y"] == y] for y in (0, 1)}
     known = sum(map(len, split.values()))
     prior = len(split[1]) / known if known else 0.5
-    if min(len(split[0]), len(split[1])) < 16:
+    if not split[0] or not split[1]:
         return QualityModel(prior=prior)
 
     def dictionary(samples: list[bytes]) -> bytes:
@@ -108,7 +112,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, ma
             return b"\n".join(pieces)[-dict_bytes:]
 
     half = {y: len(t) // 2 for y, t in split.items()}
-    model = QualityModel(good=dictionary(split[1][: half[1]]), bad=dictionary(split[0][: half[0]]), level=level)
+    model = QualityModel(good=dictionary(split[1][: max(1, half[1])]), bad=dictionary(split[0][: max(1, half[0])]), level=level)
     pair = model.compressors()
     x = np.array([features(t, *pair) for y in (0, 1) for t in split[y][half[y] :]])
     y = np.array([y for y in (0, 1) for _ in split[y][half[y] :]], dtype=float)

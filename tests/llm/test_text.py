@@ -176,6 +176,22 @@ def test_quality_holds_out_and_separates(spark):
     assert quality.fit_quality(docs, other).weights == model.weights
 
 
+def test_quality_uses_few_labels(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{small}/labels.parquet")
+    model = quality.fit_quality(docs, labels)
+    assert model.sizes == {0: 8, 1: 60}
+    rows = quality.score_quality(docs.join(labels, "doc_id"), model).collect()
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    assert sum(b < g for b in bad for g in good) / len(good) / len(bad) > 0.9
+    # empty and over-long texts don't use up the picks
+    texts = [(i, "" if i % 5 else f"good words number {i} " * 9) for i in range(200)] + [(i, f"{i} %% junk @@ " * 9) for i in range(200, 210)]
+    odd = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 200)) for i, _ in texts], "doc_id long, quality int")
+    for limit in (60_000, 50):
+        model = quality.fit_quality(odd, marks, per_class=10, max_chars=limit, holdout=10**9)
+        assert model.weights and model.sizes == {0: 10, 1: 10}
+
+
 def test_quality_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "x" * 100_000, 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")
