@@ -354,3 +354,33 @@ def test_bispectrum_of_plane_waves(spark):
             want.setdefault(tuple(k), []).append((modes[a] * modes[b] * modes[c]).real)
     for r in spectrum.triangles(full, 1000.0).collect():
         assert r.n == len(want[r.k1, r.k2, r.k3]) and math.isclose(r.b, np.mean(want[r.k1, r.k2, r.k3]), rel_tol=1e-6, abs_tol=1e-3)
+
+
+def test_spanning_forest_query_equals_kruskal_on_nearest_neighbours(spark, small):
+    from starloom.plans import structures
+    from starloom.sources.points import BOX, galaxies
+
+    points = galaxies(spark, small).select("id", "x", "y", "z").toPandas().sort_values("id")
+    ids, at = points["id"].to_numpy(), points[["x", "y", "z"]].to_numpy(float)
+    edges = set()
+    for i in range(len(at)):
+        d = np.abs(at - at[i])
+        d2 = (np.minimum(d, BOX - d) ** 2).sum(1)
+        d2[i] = np.inf
+        edges |= {(d2[j], min(i, j), max(i, j)) for j in np.lexsort((ids, d2))[:20].tolist()}
+    root = list(range(len(at)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    want = []
+    for d2, i, j in sorted(edges):
+        if find(i) != find(j):
+            root[find(i)] = find(j)
+            want.append(d2**0.5)
+    got = structures.spanning_forest(spark, small).toPandas()
+    assert len(got) == len(want) and np.allclose(np.sort(got["w"].to_numpy(float)), want)
+    assert max(want) > 60
