@@ -137,7 +137,7 @@ p as (select a.q, floor(sqrt(dx * dx + dy * dy + dz * dz) / 10) as i_s from (sel
 select cast(q as bigint) as q, cast(i_s as integer) as i_s, count(*) as n, round(count(*) / any_value(nq), 9) as per_point from p join n using (q) group by q, i_s"""
 )
 def neighbour_profile(spark, sf_dir):
-    """Neighbours per point of several samples by distance."""
+    """Neighbours per point of several samples by distance."""
     points = galaxies(spark, sf_dir).withColumn("q", F.floor(F.col("w") / 3))
     pairs = spatial.cell_pairs(points, points, 40, BOX, keep=("q",)).where((F.col("a_id") != F.col("b_id")) & (F.col("d2") < 1600))
     hist = pairs.select(F.col("a_q").alias("q"), F.floor(F.sqrt("d2") / 10).cast("int").alias("i_s")).groupBy("q", "i_s").agg(F.count(F.lit(1)).alias("n"))
