@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from starloom.functions.geometry import wrap
-from starloom.sources.shared import cut_lineage
+from starloom.sources.shared import cut_lineage, discard
 
 
 def _round(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataF
     mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")).alias("h"))
     seen = now.agg(mark.alias("s")).first()["s"]
     while seen["n"]:
-        now = cut_lineage(_round(_round(now, True), False), "stars")
+        before, now = now, cut_lineage(_round(_round(now, True), False), "stars")
+        discard(before)
         then, seen = seen, now.agg(mark.alias("s")).first()["s"]
         if then == seen:
             break
@@ -48,7 +49,9 @@ def roots(pointers: DataFrame, node: str = "node", to: str = "next") -> DataFram
     while True:
         far = now.select(F.col("node").alias("root"), F.col("root").alias("far"))
         now, before = cut_lineage(now.join(far, "root").select("node", F.col("far").alias("root")), "jump"), now
-        if now.join(before, ["node", "root"], "left_anti").isEmpty():
+        done = now.join(before, ["node", "root"], "left_anti").isEmpty()
+        discard(before)
+        if done:
             return now
 
 

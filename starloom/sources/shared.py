@@ -2,23 +2,69 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lets Spark drop an execution's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where none is named, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where none is named, a local one on a single machine (as in tests), an error on a cluster.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the time of a block; the caller's comes back after it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
-    """Written and read back: a lost executor costs no recomputation of earlier rounds."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written and read back: a lost executor costs no recomputation of earlier rounds.
+
+    The shuffle files behind the table are dropped as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    with setting(spark, CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`cut_lineage` that nothing reads any more."""
+    from pyarrow import fs
+
+    for table in tables:
+        system, path = fs.FileSystem.from_uri(table.written_to)
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            system.delete_dir(path)
