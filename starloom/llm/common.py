@@ -7,51 +7,22 @@ by :mod:`pyarrow.fs`, so a lost executor never takes intermediate data along.
 
 from __future__ import annotations
 
-import contextlib
-import gc
 import os
-import tempfile
-import time
-import uuid
 
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to Python: texts can be long, so batches are short.
-ARROW_ROWS = "256"
+from starloom.sources.shared import cut_lineage, discard, fresh_path
 
+__all__ = ["as_uri", "cut_lineage", "discard", "fresh_path", "numbered", "open_input", "open_output", "row_place", "short_batches", "table", "whole_text"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors; a local one only where none is named, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str, *, free: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here.
-
-    ``free`` drops the shuffle files before and behind it; worth it for large tables.
-    """
-    path = fresh_path(df.sparkSession, label)
-    if free:
-        release(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    if free:
-        release(df.sparkSession)
-    return out
+#: Rows per Arrow batch handed to Python, and their bytes: texts can be long.
+ARROW_ROWS, ARROW_BYTES = "256", "16777216"
 
 
 def numbered(docs: DataFrame, label: str = "rows") -> DataFrame:
     """``docs`` written with a number of each row, ``_row``, which is unique, never null and stays as written."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), label, free=True)
+    return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), label)
 
 
 def row_place(id_col: str, text_col: str) -> Column:
@@ -59,24 +30,15 @@ def row_place(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col("_row").alias("row"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now rather than at some later collection.
+def short_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers: few rows and bytes per Arrow batch.
 
-    A job that has just ended is still referred to by events on their way to
-    the listeners, so these are awaited first; files go in the background.
+    Plans read these settings when they run, so they stay set; they change no result.
     """
-    with contextlib.suppress(Py4JError):
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
-
-
-def short_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: few rows per Arrow batch."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > int(ARROW_ROWS):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= int(most):
+            spark.conf.set(key, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from starloom.llm.common import materialize
+from starloom.llm.common import cut_lineage
 
 BITS = 64
 
@@ -61,9 +61,9 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, *, segments:
     def parts(code):
         return F.array(*[F.struct(F.lit(i).alias("s"), F.shiftrightunsigned(code, i * width).bitwiseAND(F.lit(mask)).alias("v")) for i in range(segments)])
 
-    entries = materialize(_least_ids(codes, id_col, k + 1), "codes")
-    index = materialize(entries.select("code", F.size("ids").alias("n"), F.col("ids")[0].alias("least"), F.explode(parts(F.col("code"))).alias("p")).select("code", "n", "least", "p.*"), "segments")
-    asked = materialize(queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col("code").alias("q")).distinct(), "queries")
+    entries = cut_lineage(_least_ids(codes, id_col, k + 1), "codes")
+    index = cut_lineage(entries.select("code", F.size("ids").alias("n"), F.col("ids")[0].alias("least"), F.explode(parts(F.col("code"))).alias("p")).select("code", "n", "least", "p.*"), "segments")
+    asked = cut_lineage(queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col("code").alias("q")).distinct(), "queries")
     open_ = asked.select("q").distinct().withColumn("worst", F.lit(BITS))
     done = None
     best = None  # (q, code, n, least, d): the k + 1 best entries met so far of each open query
@@ -77,13 +77,13 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, *, segments:
         met = probes.join(index.hint("merge"), ["s", "v"]).where(d <= F.col("worst")).select("q", "code", "n", "least", d.alias("d"))
         pool = met if best is None else met.unionByName(best)
         pool = pool.distinct().withColumn("_r", F.row_number().over(by_rank)).where(F.col("_r") <= k + 1).drop("_r")
-        pool = materialize(pool, f"radius{r}")
+        pool = cut_lineage(pool, f"radius{r}")
         sure = segments * (r + 1) - 1
         # a query is settled once k + 1 rows, itself maybe among them, lie within what is covered
         within = F.sum(F.when(F.col("d") <= sure, F.col("n")).otherwise(0))
         full = F.when(F.count(F.lit(1)) >= k + 1, F.max("d")).otherwise(BITS)
         state = open_.select("q").join(pool.groupBy("q").agg(within.alias("within"), full.alias("worst")), "q", "left")
-        state = materialize(state.select("q", F.coalesce("within", F.lit(0)).alias("within"), F.coalesce("worst", F.lit(BITS)).alias("worst")), f"state{r}")
+        state = cut_lineage(state.select("q", F.coalesce("within", F.lit(0)).alias("within"), F.coalesce("worst", F.lit(BITS)).alias("worst")), f"state{r}")
         settled = F.col("within") >= k + 1
         finished = pool.join(state.where(settled | F.lit(r == width)).select("q"), "q", "left_semi")
         done = finished if done is None else done.unionByName(finished)

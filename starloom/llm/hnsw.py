@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from starloom.llm.common import materialize
+from starloom.llm.common import cut_lineage
 from starloom.llm.hamming_search import usable
 
 SHARD, DEGREE, BUILD, SEARCH = 8192, 16, 40, 64
@@ -211,7 +211,7 @@ def distinct_vectors(rows: DataFrame, keep: int, id_col: str, vector_col: str) -
 
 def build_index(rows: DataFrame, k: int = 5, *, shard_size: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per shard: vectors, ids and flat neighbour arrays, in the shared folder."""
-    entries = materialize(distinct_vectors(rows, k + 1, id_col, vector_col), "vectors")
+    entries = cut_lineage(distinct_vectors(rows, k + 1, id_col, vector_col), "vectors")
     shards = max(1, -(-entries.count() // shard_size))
     dealt = entries.withColumn("shard", F.size("vector") * F.lit(1 << 40) + F.pmod(F.xxhash64("vector"), F.lit(shards)))
     dealt = dealt.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard")
@@ -237,7 +237,7 @@ def build_index(rows: DataFrame, k: int = 5, *, shard_size: int = SHARD, id_col:
         if vectors:
             yield row(now, vectors, ids)
 
-    return materialize(dealt.select("shard", "vector", "ids").mapInArrow(graphs, GRAPHS), "graphs")
+    return cut_lineage(dealt.select("shard", "vector", "ids").mapInArrow(graphs, GRAPHS), "graphs")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = 5, *, ef: int = SEARCH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

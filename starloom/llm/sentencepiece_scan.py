@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.llm.common import materialize, short_batches
+from starloom.llm.common import cut_lineage, short_batches
 
 SPACE = "▁"
 NEG = float("-inf")
@@ -379,7 +379,7 @@ def encode_pieces(docs: DataFrame, *, path: str | None = None, text_col: str = "
     is_long = F.coalesce(F.length(text_col), F.lit(0)) >= chunk
     short = docs.select(*kept).where(~is_long).mapInArrow(small, schema)
     # the row's number is fixed by writing the long rows down once
-    long = materialize(docs.select(*kept).where(is_long).withColumn("_row", F.monotonically_increasing_id()), "long-texts")
+    long = cut_lineage(docs.select(*kept).where(is_long).withColumn("_row", F.monotonically_increasing_id()), "long-texts")
     piece = T.StructType([T.StructField("_row", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("part", T.StringType()), T.StructField("stop", T.IntegerType())])
 
     def split(batches):
@@ -394,7 +394,7 @@ def encode_pieces(docs: DataFrame, *, path: str | None = None, text_col: str = "
                     yield pa.RecordBatch.from_pylist(out[i : i + 64], schema=_arrow(piece))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = materialize(long.select("_row", text_col).mapInArrow(split, piece).repartition(parts, "_row", "chunk"), "chunks")
+    chunks = cut_lineage(long.select("_row", text_col).mapInArrow(split, piece).repartition(parts, "_row", "chunk"), "chunks")
     matrix = T.StructType([T.StructField("_row", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("matrix", T.BinaryType())])
 
     def transfers(batches):

@@ -10,7 +10,7 @@ two segments of 32 bits the tables stay sparse up to billions of rows.
 
 Links are sought between distinct fingerprints only, so a group of copies of
 any size is one entry, and each entry has at most C(64, <= radius) links
-whatever the size of the corpus. Components come from :mod:`.components`.
+whatever the size of the corpus. Components come from :func:`starloom.operators.graph.components`.
 
 Defined results for odd input: null text is read as empty; texts without words
 have fingerprint zero, linked like any other; texts shorter than a shingle are
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.llm.common import materialize, short_batches
-from starloom.llm.components import connected_components
+from starloom.llm.common import cut_lineage, short_batches
+from starloom.operators.graph import components
 
 SEED = 42
 BITS = 64
@@ -97,13 +97,13 @@ def hamming_links(codes: DataFrame, *, radius: int = 3, segments: int = 2, code_
 
 def near_duplicates(docs: DataFrame, *, radius: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) per row: the least id of the row's group."""
-    prints = materialize(add_fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "fingerprints")
+    prints = cut_lineage(add_fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "fingerprints")
     return components_of(prints, radius=radius, id_col=id_col)
 
 
 def components_of(prints: DataFrame, *, radius: int = 3, id_col: str = "doc_id") -> DataFrame:
     links = hamming_links(prints, radius=radius)
-    groups = connected_components(links)
+    groups = components(links, "a", "b")
     first = prints.groupBy("fingerprint").agg(F.min(id_col).alias("_first"))
     named = first.join(groups.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     least = named.groupBy("component").agg(F.min("_first").alias("component_id"))

@@ -5,10 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.llm import linededup, simhash
-from starloom.llm.components import connected_components
+from starloom.operators.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -23,19 +24,29 @@ def distance(a, b):
     return row[-1]
 
 
-def brute_lines(rows, threshold, min_chars):
+def brute_lines(rows, threshold, per_edit):
+    """The first place of each distinct line, and that of its class."""
     places = {}
     for doc_id, text in rows:
         for i, line in enumerate((text.split("\n") if text is not None else [])):
             if line:
                 places.setdefault(line, set()).add((doc_id is None, doc_id or 0, i))
     first = {k: min(v) for k, v in places.items()}
-    links = {k: set() for k in first}
+    root = {k: k for k in first}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
     for a, b in itertools.combinations(first, 2):
-        if min(len(a), len(b)) >= min_chars and abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold:
-            links[a].add(b)
-            links[b].add(a)
-    return first, links
+        least = min(threshold, min(len(a), len(b)) // per_edit)
+        if abs(len(a) - len(b)) <= least and distance(a, b) <= least:
+            root[find(a)] = find(b)
+    classes = {}
+    for k in first:
+        classes.setdefault(find(k), []).append(k)
+    return first, {k: classes[find(k)] for k in first}
 
 
 def edit(rng, s, n):
@@ -51,18 +62,8 @@ def edit(rng, s, n):
     return "".join(s)
 
 
-@pytest.mark.parametrize("threshold", [1, 2, 3])
-def test_line_links_equal_brute_force(spark, threshold):
-    rng = random.Random(threshold)
-    bases = ["".join(rng.choice("abcdefé ") for _ in range(rng.randrange(10, 40))) for _ in range(12)]
-    rows = []
-    for i in range(40):
-        lines = [edit(rng, rng.choice(bases), rng.randrange(5)) for _ in range(rng.randrange(0, 4))]
-        rows.append((i, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, "\n\n"), (None, bases[0]), (103, bases[1] + "\n" + bases[1]), (103, bases[1] + "\n" + bases[1])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    first, links = brute_lines(rows, threshold, 8)
-    got = linededup.line_verdicts(docs, threshold=threshold, min_chars=8).collect()
+def check_verdicts(got, rows, threshold, per_edit):
+    first, classes = brute_lines(rows, threshold, per_edit)
     texts = {}
     for doc_id, text in rows:
         for i, line in enumerate(text.split("\n") if text is not None else []):
@@ -70,11 +71,52 @@ def test_line_links_equal_brute_force(spark, threshold):
     assert len(got) == sum(1 for _, t in rows if t is not None for x in t.split("\n") if x)
     for r in got:
         line = texts[r.doc_id, r.line_no]
-        late, doc, no = first[line]
-        assert (r.class_doc_id, r.class_line_no) == (None if late else doc, no)
-        assert r.links == len(links[line]), line
-        keep = (r.doc_id is None, r.doc_id or 0, r.line_no) == first[line] and not any(first[o] < first[line] for o in links[line])
-        assert r.keep == keep
+        late, doc, no = head = min(first[x] for x in classes[line])
+        assert (r.class_doc_id, r.class_line_no) == (None if late else doc, no), line
+        assert r.links == len(classes[line]) - 1, line
+        assert r.keep == ((r.doc_id is None, r.doc_id or 0, r.line_no) == head)
+
+
+@pytest.mark.parametrize(("threshold", "per_edit"), [(1, 4), (2, 5), (3, 4), (linededup.THRESHOLD, linededup.PER_EDIT)])
+def test_line_classes_equal_brute_force(spark, threshold, per_edit):
+    rng = random.Random(threshold)
+    bases = ["".join(rng.choice("abcdefé ") for _ in range(rng.randrange(1, 45))) for _ in range(14)]
+    rows = []
+    for i in range(40):
+        lines = [edit(rng, rng.choice(bases), rng.randrange(5)) for _ in range(rng.randrange(0, 4))]
+        rows.append((i, "\n".join(lines)))
+    rows += [(100, None), (101, ""), (102, "\n\n"), (None, bases[0]), (103, bases[1] + "\n" + bases[1]), (103, bases[1] + "\n" + bases[1])]
+    rows += [(104, "hello small world!"), (105, "hello small world?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_verdicts(linededup.line_verdicts(docs, threshold=threshold, per_edit=per_edit).collect(), rows, threshold, per_edit)
+
+
+def test_large_groups_of_near_lines(spark):
+    """Keys that many lines share: a family within the threshold, one beyond it, and a chain."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    far = "".join(rng.choice("abcdefgh ") for _ in range(40))
+    chain = "x" * 50
+    lines = [edit(rng, base, 2) for _ in range(120)]
+    lines += [far + "".join(rng.choice("klmnop") for _ in range(10)) for _ in range(60)]
+    for _ in range(12):
+        chain = edit(rng, chain, 2)
+        lines.append(chain)
+    rng.shuffle(lines)
+    rows = list(enumerate(lines))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_verdicts(linededup.line_verdicts(docs).collect(), rows, linededup.THRESHOLD, linededup.PER_EDIT)
+
+
+def test_edits_within(spark):
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abé") for _ in range(rng.randrange(0, 60)))
+        pairs.append((a, edit(rng, a, rng.randrange(0, 6))))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.edits_within(F.col("a"), F.col("b"), 3).alias("d"))
+    for r in got.collect():
+        assert r.d == min(distance(r.a, r.b), 4), (r.a, r.b)
 
 
 def test_dedup_lines_changes_texts(spark):
@@ -99,11 +141,16 @@ def test_lines_odd_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert linededup.dedup_lines(empty).count() == 0
     assert linededup.line_verdicts(empty).count() == 0
-    clash = spark.createDataFrame([(1, "x\ny", "a", 7), (2, "x", "b", 8)], "doc_id long, text string, line string, keep int")
+    clash = spark.createDataFrame([(1, "x\ny", "a", 7, 8, [9]), (2, "x", "b", 8, 9, [7])], "doc_id long, text string, line string, _gone int, _row int, _kept array<int>")
     got = sorted(map(tuple, linededup.dedup_lines(clash).collect()))
-    assert got == [(1, "x\ny", "a", 7)]
-    long = spark.createDataFrame([(1, "\n".join(f"line number {i} of a very long text, with words" for i in range(3000)))], "doc_id long, text string")
-    assert linededup.dedup_lines(long, threshold=0).first().text == long.first().text
+    assert got == [(1, "x\ny", "a", 7, 8, [9])]
+
+
+def test_text_of_very_many_lines(spark):
+    lines = [f"{i * 7919 % 100_003:06d}" for i in range(100_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines, "one more"]))]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "one more"}
 
 
 def naive_fingerprint(text, words=3):
@@ -176,10 +223,10 @@ def test_simhash_documents(spark, small):
 
 def test_components_of_long_chain(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1000), (5, None), (300, 301)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(201)} | {300: 300, 301: 300}
     none = spark.createDataFrame([], T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    assert connected_components(none).count() == 0
+    assert components(none, "a", "b").count() == 0
 
 
 def test_fingerprint_of_very_long_text():
