@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from starloom.sources.shared import cut_lineage, discard, fresh_path
 
-__all__ = ["as_uri", "cut_lineage", "discard", "fresh_path", "numbered", "open_input", "open_output", "row_place", "short_batches", "table", "whole_text"]
+__all__ = ["as_uri", "cut_lineage", "discard", "free_name", "fresh_path", "numbered", "open_input", "open_output", "row_place", "short_batches", "table", "whole_text"]
 
 #: Rows per Arrow batch handed to Python, and their bytes: texts can be long.
 ARROW_ROWS, ARROW_BYTES = "256", "16777216"
@@ -41,6 +41,14 @@ def short_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def free_name(name: str, taken) -> str:
+    """``name``, with underscores behind it while it is taken (names don't tell cases apart)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,9 +20,9 @@ point of the best path that later ids can't improve much, and the rest carries
 over, so memory is bounded and a partition wastes at most its last window.
 
 Defined results for odd input: null text is an empty document, one end id;
-texts of any length are packed whole; repeated ids (also null) are separate
-documents, in order of their text, each with its own pieces; an empty table
-gives an empty result; extra columns are ignored.
+texts of any length are packed whole; repeated ids (also null, which come last)
+are separate documents, in order of a hash of their text, each with its own
+pieces; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.llm.common import short_batches
+from starloom.llm.tokenfiles import in_order
 from starloom.llm.tokens import encoder, tokenizer_file
 
 SIZE = 2048
@@ -162,8 +162,7 @@ def pack_documents(docs: DataFrame, *, size: int = SIZE, end_id: int = 1, tokeni
     spark = docs.sparkSession
     short_batches(spark)
     path = tokenizer or tokenizer_file()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = in_order(docs, id_col, text_col)
 
     def pack(batches):
         import pyarrow as pa

@@ -15,7 +15,8 @@ Offsets are code points, end exclusive. Defined results for odd input: null
 text is read as empty and has no spans; texts of any length are searched whole
 in time linear in their length; overlapping spans of different kinds are all
 reported and redacted once, as the kind listed first; repeated rows each get
-their own result; an empty table gives an empty one; extra columns are kept.
+their own result; an empty table gives an empty one; extra columns are kept
+whatever their names, a new column whose name is taken gets underscores behind it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.llm.common import short_batches
+from starloom.llm.common import free_name, short_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "card_short", "phone_local")
@@ -41,10 +42,21 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
+IBAN_BODY = re.compile(r"(?: ?[A-Z0-9]){11,30}+")
 PHONE_LOCAL = re.compile(r"(?<![0-9+.(-])\(?0?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ ./-][0-9]{3,4}(?![0-9])")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
+#: Characters of an account number by country (fixed values).
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31,
+    "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
 #: Words near a span that speak for its kind (first) or against any (second).
 CONTEXT_WORDS = {
     "iban": re.compile(r"(?i)\b(?:iban|account|konto|bank|bic|swift|cuenta|compte)\b"),
@@ -72,6 +84,25 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def ibans(text: str):
+    """Spans of account numbers: of the country's length, or of any length where the country is unknown, that pass mod 97."""
+    for head in IBAN.finditer(text):
+        body = IBAN_BODY.match(text, head.end())
+        if not body:
+            continue
+        ends, count = {}, 4  # characters without spaces -> end
+        for at in range(body.start(), body.end()):
+            if text[at] != " ":
+                count += 1
+                ends[count] = at + 1
+        known = IBAN_LENGTH.get(head[1])
+        for n in [known] if known else sorted(ends, reverse=True):
+            end = ends.get(n)
+            if end and not text[end : end + 1].isalnum() and mod97(text[head.start() : end]):
+                yield head.start(), end
+                break
+
+
 def emails(text: str):
     """Leftmost non-overlapping addresses, walking from one @ to the next."""
     at, floor = text.find("@"), 0
@@ -147,9 +178,8 @@ def added_spans(text: str) -> list[tuple[str, int, int, float]]:
         if score >= MIN_SCORE:
             found.append((kind, start, end, round(score, 2)))
 
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            propose("iban", *m.span(), 0.9)
+    for start, end in ibans(text):
+        propose("iban", start, end, 0.9)
     for m in DIGITS.finditer(text):
         if m.end() - m.start() >= 13:
             bare = m[0].replace(" ", "").replace("-", "")
@@ -188,10 +218,10 @@ def redact(text: str | None, spans=None) -> str | None:
 def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, ``spans`` (array of kind, start, end, score) and ``redacted``."""
     short_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("spans", "redacted")]
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("spans", T.ArrayType(span)), T.StructField("redacted", T.StringType())])
-    at = kept.index(text_col)
+    added = [T.StructField(free_name("spans", docs.columns), T.ArrayType(span)), T.StructField(free_name("redacted", docs.columns), T.StringType())]
+    schema = T.StructType([*docs.schema.fields, *added])
+    at = docs.columns.index(text_col)
 
     def search(batches):
         import pyarrow as pa
@@ -203,14 +233,14 @@ def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
                 found = find_spans(text)
                 spans.append([dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in found])
                 clean.append(redact(text, found))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind), pa.array(clean, pa.string())], names=[*kept, "spans", "redacted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind), pa.array(clean, pa.string())], names=schema.names)
 
-    return docs.select(*kept).mapInArrow(search, schema)
+    return docs.mapInArrow(search, schema)
 
 
 def pii_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the counts of base kinds and the digests of its spans."""
-    found = find_pii(docs.select(id_col, text_col), text_col=text_col)
+    found = find_pii(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
 
     def spelled(spans):
@@ -220,7 +250,7 @@ def pii_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in BASE]
-    return found.select(F.col(id_col), *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"), F.transform("spans", lambda s: s["score"]).alias("scores"))
+    return found.select(F.col("doc_id").alias(id_col), *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"), F.transform("spans", lambda s: s["score"]).alias("scores"))
 
 
 def digest_of(text: str | None) -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.llm.common import short_batches
+from starloom.llm.common import free_name, short_batches
 
 #: A document is accepted from this score on.
 ACCEPT = 0.3

@@ -4,7 +4,8 @@ File format (all numbers little-endian)
     header   b"SLTOK\\x01", one byte id width (2 or 4), one zero byte
     record   uint64 length of the payload
              uint32 masked checksum of those eight bytes
-             payload: int64 document id, then the ids in the file's width
+             payload: one byte, 1 if there is a document id, else 0; int64
+             document id (0 if there is none); the ids in the file's width
              uint32 masked checksum of the payload
 The checksum is CRC-32; masking is rotate right by 15 plus 0xA282EAD8 (modulo
 2**32), so that records stored inside records don't check themselves.
@@ -18,10 +19,10 @@ the index, which Spark commits as a whole, names them: a retried or speculative
 task leaves at most an unnamed file behind.
 
 Defined results for odd input: null text is an empty sequence (its end id
-only); null document ids are skipped by the id-keyed format and therefore
-refused with an error; repeated ids are written once per row, in the order of
-their text; an empty table gives no files and an empty result; extra columns
-are ignored; texts of any length are encoded whole.
+only); rows without a document id come last; repeated ids are written once per
+row, in the order of a hash of their text, and may go to several files; an empty
+table gives no files and an empty result; extra columns are ignored; texts of
+any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import Window
 from starloom.llm.common import as_uri, fresh_path, open_input, open_output, short_batches
 from starloom.llm.tokens import encoder, tokenizer_file
 
-MAGIC = b"SLTOK\x01"
+MAGIC = b"SLTOK\x02"
 INDEX = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("position", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 #: Stretch of a file that one reading task takes on.
 READ_BYTES = 32 << 20
@@ -69,6 +70,18 @@ def unframe(stream, path: str) -> bytes | None:
     return body[:n]
 
 
+def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) dealt out by ranges and sorted: by id, nulls last, then by a hash of the text.
+
+    Equal rows are told apart by their number, so a very common id is spread over several ranges.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("row")]
+    ranges = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    return ranges.sortWithinPartitions(*order).select("doc_id", "text")
+
+
 def write_token_files(docs: DataFrame, out_dir: str, *, tokenizer: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts, write records in ascending id order, return the index.
 
@@ -80,8 +93,7 @@ def write_token_files(docs: DataFrame, out_dir: str, *, tokenizer: str | None =
     short_batches(spark)
     path = tokenizer or tokenizer_file()
     root = as_uri(out_dir).rstrip("/")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("token records need a document id"))).alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = in_order(docs, id_col, text_col)
 
     def write(batches):
         import pyarrow as pa
@@ -98,9 +110,9 @@ def write_token_files(docs: DataFrame, out_dir: str, *, tokenizer: str | None =
                     out.write(MAGIC + bytes([width, 0]))
                     at = len(MAGIC) + 2
                 index = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     ids = np.frombuffer(enc.encode_bytes(text) + tail, dtype="<u4")
-                    record = frame(struct.pack("<q", doc_id) + ids.astype(f"<u{width}").tobytes())
+                    record = frame(struct.pack("<?q", doc_id is not None, doc_id or 0) + ids.astype(f"<u{width}").tobytes())
                     out.write(record)
                     index.append((part, name, doc_id, at, len(record), len(ids)))
                     at += len(record)
@@ -131,8 +143,9 @@ def open_records(path: str, position: int | None = None):
     return stream, head[len(MAGIC)]
 
 
-def parse(payload: bytes, width: int) -> tuple[int, np.ndarray]:
-    return struct.unpack("<q", payload[:8])[0], np.frombuffer(payload, dtype=f"<u{width}", offset=8).astype("<u4")
+def parse(payload: bytes, width: int) -> tuple[int | None, np.ndarray]:
+    known, doc_id = struct.unpack("<?q", payload[:9])
+    return doc_id if known else None, np.frombuffer(payload, dtype=f"<u{width}", offset=9).astype("<u4")
 
 
 def read_token_files(index: DataFrame) -> DataFrame:
@@ -145,7 +158,7 @@ def read_token_files(index: DataFrame) -> DataFrame:
     short_batches(index.sparkSession)
     piece = F.floor(F.col("position") / READ_BYTES).cast("int")
     runs = index.groupBy("part", "path", piece.alias("piece")).agg(F.min("position").alias("position"), F.max(F.col("position") + F.col("bytes")).alias("end"), F.sum("n_tokens").alias("tokens"))
-    # One row per file stretch of 32 MB, so this window sorts a few thousand rows even for terabytes of ids.
+    # One row per file stretch of 32 MB: this window, one task, sorts some 30 thousand rows for each terabyte of ids.
     before = F.sum("tokens").over(Window.orderBy("part", "path", "piece").rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.withColumn("start", F.coalesce(before, F.lit(0)))
     runs = runs.select("part", "path", "position", "end", "start").repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part", "position")

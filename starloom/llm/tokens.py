@@ -1,10 +1,13 @@
 """Token ids of whole texts with a public byte-level tokenizer.
 
 :class:`Encoder` gives exactly the ids of the ``tokenizers`` library for the
-whole text. Most of the library's time goes into merging the same words again
-and again, so a text is cut where the pre-tokenizer always cuts, and each
-distinct piece is encoded by the library once per worker. Both memos are
-bounded: they are emptied when full.
+whole text, with the library's own settings: the string of an added token (such
+as ``<|endoftext|>``) in a text becomes that token, so whoever wants it as plain
+text must escape it before. Most of the library's time goes into merging the
+same words again and again, so a text is cut where the pre-tokenizer always
+cuts, and each distinct piece is encoded by the library once per worker; texts
+with an added token's string are left whole. Both memos are bounded: they are
+emptied when full.
 """
 
 from __future__ import annotations
@@ -89,7 +92,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         # the same model for single pre-tokens, spelled in byte letters
@@ -101,6 +104,8 @@ class Encoder:
     def encode_bytes(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         words = CUT.split(text) if PADDED.search(text) else text.split(" ")
         head = self.first[words[0]]
         if len(words) == 1:

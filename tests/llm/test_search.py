@@ -105,7 +105,37 @@ def test_flat_arrays_round_trip():
     g = hnsw.Graph.build(v)
     h = hnsw.Graph.from_row(g.to_row(), v)
     assert all((a == b).all() for a, b in zip(g.links, h.links, strict=True))
-    assert all(g.search(v[i], 5) == h.search(v[i], 5) for i in range(20))
+    assert all((a == b).all() for a, b in zip(g.search(v[:20], 5), h.search(v[:20], 5), strict=True))
+
+
+def test_parallel_vectors_tie_to_the_smaller_id(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=8)
+    rows = rows_of(spark, [(i, (base * (200 - i)).tolist()) for i in range(200)] + [(500, (-base).tolist()), (501, (base * 1e-200).tolist()), (502, (base * 1e150).tolist())])
+    for query in (0, 7, 502):
+        got = [(r.vec_id, r.score) for r in hnsw.nearest_neighbours(rows, rows.where(f"vec_id = {query}"), 5).orderBy("rank").collect()]
+        assert [i for i, _ in got] == [i for i in range(7) if i != query][:5]
+        assert all(abs(s - 1) < 1e-12 for _, s in got)
+
+
+def test_recall_over_several_shards_of_the_usual_size():
+    """Two shards as large as in production, merged; against all similarities."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(200, 32))
+    v = hnsw.unit(centres[rng.integers(0, 200, 2 * hnsw.SHARD)] + 0.7 * rng.normal(size=(2 * hnsw.SHARD, 32)))
+    halves = [np.arange(0, len(v), 2), np.arange(1, len(v), 2)]
+    queries = rng.integers(0, len(v), 200)
+    found = [[] for _ in queries]
+    for half in halves:
+        graph = hnsw.Graph.build(v[half])
+        for out, ids in zip(found, graph.search(v[queries], 6), strict=True):
+            out += half[ids].tolist()
+    sims = v[queries] @ v.T
+    share = 0.0
+    for i, out in enumerate(found):
+        best = set(np.argsort(-sims[i])[:6].tolist())
+        share += len(best & set(sorted(out, key=lambda x: -sims[i, x])[:6])) / 6
+    assert share / len(queries) >= 0.9
 
 
 @pytest.mark.parametrize("version", ["1", "2"])
