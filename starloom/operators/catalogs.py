@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.operators.ranks import even_part, ranked
+
 #: Parameter names as given by users and as used inside (fixed values).
 RENAMED = {"logM_1": "logM1", "logM_cut": "logM_cut", "A_cen": "Acent", "A_sat": "Asat", "B_cen": "Bcent", "B_sat": "Bsat"}
 
@@ -59,20 +61,33 @@ def populate(halos: DataFrame, *, log_cut: float, sigma: float, log_m1: float, k
     """Galaxies (halo_id, central, x, y, z): Bernoulli centrals, Poisson satellites around them.
 
     The Poisson number is found by running down its distribution with one
-    uniform number; no Python is involved. Seed 0 is a seed like any other.
+    uniform number; no Python is involved. Probabilities are relative to that of
+    the most likely number, so that none of large means vanish. Seed 0 is a seed
+    like any other.
     """
     mass = F.col("log_mass")
     n_sat = mean_satellites(mass, log_cut, sigma, log_m1, kappa, alpha)
     drawn = halos.withColumn("_c", F.rand(seed) < mean_centrals(mass, log_cut, sigma)).withColumn("_l", n_sat).withColumn("_u", F.rand(seed + 1))
-    top = F.ceil(F.col("_l") + 8 * F.sqrt("_l") + 8).cast("int")
-    first = F.struct(F.lit(0).alias("n"), F.exp(-F.col("_l")).alias("p"), F.exp(-F.col("_l")).alias("s"))
+    # what lies further than twelve deviations off has no part in a double
+    reach = F.ceil(12 * F.sqrt("_l") + 12).cast("int")
+    mode = F.floor("_l").cast("int")
+    low, high = F.greatest(mode - reach, F.lit(0)), mode + reach
+
+    def up(a, k):
+        """Relative probability of k + 1 from that of k."""
+        return a * F.col("_l") / (k + 1)
+
+    # relative probability of the lowest number, coming down from the most likely one
+    least = F.aggregate(F.sequence(F.lit(0), mode - low), F.lit(1.0), lambda a, i: F.when(i < mode - low, a * (mode - i) / F.greatest(F.col("_l"), F.lit(1e-300))).otherwise(a))
+    whole = F.aggregate(F.sequence(low, high), F.struct(least.alias("p"), F.lit(0.0).alias("s")), lambda a, k: F.struct(up(a["p"], k).alias("p"), (a["s"] + a["p"]).alias("s")), lambda a: a["s"])
+    drawn = drawn.withColumn("_goal", F.col("_u") * whole)
+    first = F.struct(low.alias("n"), least.alias("p"), F.lit(0.0).alias("s"))
 
     def step(a, k):
-        p = a["p"] * F.col("_l") / k
-        more = a["s"] < F.col("_u")
-        return F.struct(F.when(more, k).otherwise(a["n"]).cast("int").alias("n"), p.alias("p"), F.when(more, a["s"] + p).otherwise(a["s"]).alias("s"))
+        more = a["s"] + a["p"] <= F.col("_goal")
+        return F.struct(F.when(more, k + 1).otherwise(a["n"]).cast("int").alias("n"), F.when(more, up(a["p"], k)).otherwise(a["p"]).alias("p"), F.when(more, a["s"] + a["p"]).otherwise(a["s"]).alias("s"))
 
-    count = F.aggregate(F.sequence(F.lit(1), top), first, step, lambda a: a["n"])
+    count = F.when(F.col("_l") > 0, F.aggregate(F.sequence(low, high - 1), first, step, lambda a: a["n"])).otherwise(0)
     drawn = drawn.withColumn("_n", count)
     central = drawn.where("_c").select(F.col("id").alias("halo_id"), F.lit(True).alias("central"), "x", "y", "z")
     around = drawn.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
@@ -111,6 +126,5 @@ def intersection_volume(samples: DataFrame, shells: list[tuple[float, float]], h
 
 def split_evenly(samples: DataFrame, parts: int, order: str = "sample") -> DataFrame:
     """``samples`` with the number of its part; the first parts are larger."""
-    from pyspark.sql import Window
-
-    return samples.withColumn("part", F.ntile(parts).over(Window.orderBy(order)) - 1)
+    placed = ranked(samples, [order], "_rank", "_total")
+    return placed.withColumn("part", even_part(F.col("_rank"), F.col("_total"), parts)).drop("_rank", "_total")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from starloom.functions.geometry import wrap
+from starloom.operators.ranks import even_part, ranked
 from starloom.sources.shared import cut_lineage, discard
 
 
@@ -119,8 +119,8 @@ def percolation(tree: DataFrame, points: DataFrame, steps: int, bins: int, box:
     from starloom.functions.geometry import min_image
 
     def binned(df, order, value, stat):
-        w = Window.orderBy(*order)
-        return df.withColumn("bin", F.ntile(bins).over(w) - 1).groupBy("bin").agg(F.avg(value).alias("mean")).select(F.lit(stat).alias("stat"), "bin", "mean")
+        placed = ranked(df, order).withColumn("bin", even_part(F.col("rank"), F.col("total"), bins))
+        return placed.groupBy("bin").agg(F.avg(value).alias("mean")).select(F.lit(stat).alias("stat"), "bin", "mean")
 
     out = binned(tree, ["w", "src", "dst"], "w", "mst1pt")
     for n in range(2, steps + 1):

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from starloom.operators.ranks import ranked
+
 
 @dataclass(frozen=True)
 class LabelledTable:
@@ -72,11 +74,11 @@ class LabelledTable:
         return self._with(frame.select(*self.frame.columns))
 
     def _numbered(self, dims: tuple[str, ...], name: str, frame: DataFrame) -> DataFrame:
-        """Dense numbers of label combinations, made on the labels alone."""
+        """Dense numbers of label combinations, made on the labels alone, of which there may be many."""
         if not dims:
             return frame.withColumn(name, F.lit(0))
-        labels = frame.select(*dims).distinct().withColumn(name, (F.row_number().over(Window.orderBy(*dims)) - 1).cast("int"))
-        return frame.join(F.broadcast(labels), list(dims))
+        labels = ranked(frame.select(*dims).distinct(), list(dims), name, "_total").withColumn(name, F.col(name).cast("int")).drop("_total")
+        return frame.join(labels, list(dims))
 
     def flatten(self) -> DataFrame:
         """``frame`` with dense ``sample`` and ``feature`` numbers."""

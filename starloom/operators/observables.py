@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.operators.ranks import quantiles
+
 
 def combine_los(rows: DataFrame, los: str, sample: tuple[str, ...], axis: str, value: str = "value") -> DataFrame:
     """(sample, axis, value): each line of sight normalised to one, then added over those there are."""
@@ -38,13 +40,12 @@ def informative(rows: DataFrame, features: tuple[str, ...], value: str, floor: f
 
 def quantile_grid(rows: DataFrame, value: str, n: int) -> DataFrame:
     """(step, threshold): interpolated quantiles at 0, 1/n, ..., 1."""
-    grid = F.array(*[F.lit(i / n) for i in range(n + 1)])
-    return rows.agg(F.percentile(value, grid).alias("_q")).select(F.posexplode("_q").alias("step", "threshold"))
+    return quantiles(rows, value, [i / n for i in range(n + 1)]).select(F.posexplode("quantiles").alias("step", "threshold"))
 
 
 def open_quantiles(rows: DataFrame, value: str, n: int) -> DataFrame:
     """Rows strictly between two neighbouring quantiles, with their ``sample`` number."""
-    edges = rows.agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("_q"))
+    edges = quantiles(rows, value, [i / n for i in range(n + 1)]).select(F.col("quantiles").alias("_q"))
     placed = rows.crossJoin(F.broadcast(edges)).withColumn("sample", F.aggregate("_q", F.lit(-1), lambda a, e: a + (e < F.col(value)).cast("int")))
     inside = (F.col("sample") >= 0) & (F.col("sample") < n) & (F.col(value) < F.get("_q", F.col("sample") + 1))
     return placed.where(inside).drop("_q")

@@ -9,13 +9,16 @@ are visited.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from math import pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from starloom.functions.geometry import AXES, min_image
+from starloom.sources.shared import cut_lineage
 
 
 def cells_per_side(box: float, radius: float) -> int:
@@ -84,29 +87,47 @@ def radius_pairs(points: DataFrame, r_max: float, r_perp_max: float, box: float)
     return links.select(*ends, *[F.when(turned, -F.col(c)).otherwise(F.col(c)).alias(c) for c in ("dx", "dy", "dz")], "d2")
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, box: float, *, radius: float, exclude_self: bool = False) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int, box: float, *, radius: float | None = None, exclude_self: bool = False) -> DataFrame:
     """The ``k`` nearest points of every query: (q_id, rank, id, dx, dy, dz, d2), ties to the smaller id.
 
-    Searched with a growing radius: a query is settled once it has ``k``
-    neighbours within the radius; only the others are searched again. Beyond
-    half a box the cell is the whole box, so the loop ends with exact results.
+    The first radius is the one within which a point of the mean density has
+    enough neighbours in nearly all cases. A query is settled once it has ``k``
+    neighbours within the radius; only the others are searched again, with twice
+    the radius. Each round is written down, so no plan holds the ones before. The
+    few queries left when the radius spans the box, in tables that hold hardly
+    more than ``k`` points, are held against all points in blocks.
     """
-    found, todo = None, queries
+    need = k + exclude_self
+    if radius is None:
+        count = max(1, points.count())
+        radius = box * ((need + 3 * need**0.5 + 2) / (4 / 3 * pi * count)) ** (1 / 3)
     order = Window.partitionBy("a_id").orderBy("d2", "b_id")
+    found, todo = [], queries
     while True:
         whole = cells_per_side(box, radius) == 1
-        near = cell_pairs(todo, points, box * 1.75 if whole else radius, box)
+        near = blocked_pairs(todo, points, box) if whole else cell_pairs(todo, points, radius, box)
         if exclude_self:
             near = near.where(F.col("a_id") != F.col("b_id"))
-        ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        rank = F.row_number().over(order)
+        ranked = cut_lineage(near.withColumn("rank", rank).where(F.col("rank") <= k), "near")
         if whole:
-            done, more = ranked, None
-        else:
-            full = near.groupBy("a_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("a_id")
-            done = ranked.join(full, "a_id", "left_semi")
-            more = todo.join(full, todo["id"] == full["a_id"], "left_anti")
-        found = done if found is None else found.unionByName(done)
-        if more is None or more.isEmpty():
+            found.append(ranked)
             break
-        todo, radius = more, radius * 2
-    return found.select(F.col("a_id").alias("q_id"), "rank", F.col("b_id").alias("id"), "dx", "dy", "dz", "d2")
+        settled = ranked.where(F.col("rank") == k).select("a_id")
+        found.append(ranked.join(settled, "a_id", "left_semi"))
+        todo = cut_lineage(todo.join(settled, todo["id"] == settled["a_id"], "left_anti"), "open")
+        if todo.isEmpty():
+            break
+        radius *= 2
+    out = reduce(DataFrame.unionByName, found)
+    return out.select(F.col("a_id").alias("q_id"), "rank", F.col("b_id").alias("id"), "dx", "dy", "dz", "d2")
+
+
+def blocked_pairs(left: DataFrame, right: DataFrame, box: float) -> DataFrame:
+    """Every row of ``left``, few, with every row of ``right``, dealt out to blocks; columns as of :func:`cell_pairs`."""
+    blocks = max(8, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    a = left.select(*[F.col(c).alias(f"a_{c}") for c in ("id", *AXES)]).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    b = right.select(*[F.col(c).alias(f"b_{c}") for c in ("id", *AXES)]).withColumn("_block", F.pmod(F.xxhash64("b_id"), F.lit(blocks)).cast("int"))
+    d = [min_image(F.col(f"b_{c}") - F.col(f"a_{c}"), box) for c in AXES]
+    pairs = a.join(b, "_block").drop("_block")
+    return pairs.select("*", *[x.alias(f"d{c}") for x, c in zip(d, AXES, strict=True)], (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from starloom.operators.ranks import even_part, quantiles, ranked, running_sum
+
 #: Upper quartile of the normal distribution: scales a median absolute deviation to a sigma (fixed value).
 NORMAL_QUARTILE = 0.6744897501960817
 
@@ -25,7 +27,7 @@ def quantile_split(df: DataFrame, column: str, n: int, label: str = "quantile")
     Raises on equal edges, as bins would be lost.
     """
     inner = [i / n for i in range(1, n)]
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(q) for q in (0.0, *inner, 1.0)])).alias("_e"))
+    edges = quantiles(df, column, [0.0, *inner, 1.0]).select(F.col("quantiles").alias("_e"))
     clash = F.size(F.array_distinct("_e")) < n + 1
     edges = edges.select(F.when(clash, F.raise_error(F.lit("quantile edges are not distinct"))).otherwise(F.slice("_e", 2, n - 1)).alias("_e"))
     joined = df.crossJoin(F.broadcast(edges))
@@ -35,8 +37,11 @@ def quantile_split(df: DataFrame, column: str, n: int, label: str = "quantile")
 
 def even_split_means(df: DataFrame, order: list, value: str, bins: int, group: tuple[str, ...] = ()) -> DataFrame:
     """(group, bin, mean, n): rows in order dealt to bins of equal size, the first ones larger."""
-    w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
-    return df.withColumn("bin", F.ntile(bins).over(w) - 1).groupBy(*group, "bin").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    if group:
+        placed = df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    else:
+        placed = ranked(df, order).withColumn("bin", even_part(F.col("rank"), F.col("total"), bins))
+    return placed.groupBy(*group, "bin").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 def paired_covariance(rows: DataFrame, prefactor: float = 1.0, sample: str = "sample", feature: str = "feature", value: str = "value") -> DataFrame:
@@ -84,8 +89,9 @@ def ogk_covariance(rows: DataFrame, eps: float = 1e-12):
     """
     import numpy as np
 
-    scale = mad(rows, "value", ("feature",))
-    scaled = rows.join(scale, "feature").select("sample", "feature", (F.col("value") / F.greatest("mad", F.lit(eps))).alias("value"))
+    root = eps**0.5
+    scale = mad(rows, "value", ("feature",)).withColumn("mad", F.when(F.col("mad") > 0, F.col("mad")).otherwise(root))
+    scaled = rows.join(scale, "feature").select("sample", "feature", (F.col("value") / F.col("mad")).alias("value"))
     terms = gk_covariance(scaled, eps).collect()  # features squared, set by the caller's schema
     names = sorted({t.f1 for t in terms})
     at = {f: i for i, f in enumerate(names)}
@@ -94,10 +100,10 @@ def ogk_covariance(rows: DataFrame, eps: float = 1e-12):
         if t.f1 != t.f2:
             u[at[t.f1], at[t.f2]] = t.cov
     _, e = np.linalg.eigh((u + u.T) / 2)
-    d = np.array([max(s.mad, eps) for s in sorted(scale.collect(), key=lambda s: s.feature)])
+    d = np.array([s.mad for s in sorted(scale.collect(), key=lambda s: s.feature)])
     turned = scaled.sparkSession.createDataFrame([(f, k, float(e[at[f], k])) for f in names for k in range(len(names))], "feature string, k int, load double")
     rotated = scaled.join(F.broadcast(turned), "feature").groupBy("sample", "k").agg(F.sum(F.col("value") * F.col("load")).alias("value"))
-    g = np.array([r.mad for r in sorted(mad(rotated, "value", ("k",)).collect(), key=lambda r: r.k)])
+    g = np.array([max(r.mad, root) for r in sorted(mad(rotated, "value", ("k",)).collect(), key=lambda r: r.k)])
     a = d[:, None] * e
     return names, a @ np.diag(g**2) @ a.T
 
@@ -135,8 +141,7 @@ def debias(n_mocks: int, n_bins: int, n_params: int = 0, method: str = "percival
     if method == "percival":
         return (s - 1) * (1 + b * (d - p)) / (s - d + p - 1)
     if method == "percival-fisher":
-        a = 2 / ((s - d - 1) * (s - d - 4))
-        return (s - 1) / (s - d - 2) * (1 + b * (d - p)) / (1 + a + b * (p + 1))
+        return (s - 1) / (s - d + p - 1)
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -156,24 +161,30 @@ def sigma_clip(rows: DataFrame, sigma: float = 3.0, rounds: int = 5, sample: str
 
 
 def ecdf(df: DataFrame, value: str, group: tuple[str, ...] = ()) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(value) if group else Window.orderBy(value)
-    return df.withColumn("cdf", F.cume_dist().over(w))
+    """``df`` with the share of values, of the group, up to its own."""
+    if group:
+        return df.withColumn("cdf", F.cume_dist().over(Window.partitionBy(*group).orderBy(value)))
+    heights = running_sum(df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")), value, "_n")
+    return df.join(heights.select(F.col(value).alias("_v"), (F.col("sum") / F.col("total")).alias("cdf")), F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def islands(df: DataFrame, value: str, group: tuple[str, ...] = ()) -> DataFrame:
     """(group, first, last): runs of consecutive integers."""
-    w = Window.partitionBy(*group).orderBy(value) if group else Window.orderBy(value)
-    runs = df.select(*group, value).distinct().withColumn("_g", F.col(value) - F.row_number().over(w))
+    rows = df.select(*group, value).distinct()
+    if group:
+        runs = rows.withColumn("_g", F.col(value) - F.row_number().over(Window.partitionBy(*group).orderBy(value)))
+    else:
+        runs = ranked(rows, [value], "_r", "_t").withColumn("_g", F.col(value) - F.col("_r"))
     return runs.groupBy(*group, "_g").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("_g")
 
 
-def significant_condition(matrix, digits: int = 16) -> int:
-    """0: fit to be inverted; 1: some digits are lost; 2: none are left."""
+def significant_condition(matrix, digits: float = 10) -> int:
+    """0: singular, nothing can be trusted; 1: well conditioned; 2: fewer than ``digits`` digits are left."""
     import numpy as np
 
     condition = np.linalg.cond(np.asarray(matrix, float))
-    lost = np.log10(condition) if np.isfinite(condition) and condition > 0 else np.inf
-    return 0 if lost < digits / 2 else 1 if lost < digits else 2
+    left = -np.log10(condition * np.finfo(float).eps) if np.isfinite(condition) else -np.inf
+    return 0 if left <= 0 else 2 if left < digits else 1
 
 
 def is_symmetric(matrix: DataFrame, tolerance: float = 1e-8) -> bool:
@@ -191,10 +202,3 @@ def is_positive_definite(matrix) -> bool:
     except np.linalg.LinAlgError:
         return False
     return True
-
-
-def chunk_even(n: Column, total: Column, parts: int) -> Column:
-    """Chunk, from 0, of row ``n`` of ``total`` dealt evenly, the first chunks larger."""
-    base, extra = F.floor(total / parts), total % parts
-    edge = extra * (base + 1)
-    return F.when(n < edge, F.floor(n / (base + 1))).otherwise(extra + F.floor((n - edge) / F.greatest(base, F.lit(1)))).cast("int")

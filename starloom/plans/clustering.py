@@ -124,7 +124,7 @@ from (select *, dx * dx + dy * dy + dz * dz as d2 from (select a.id, b.id as bid
 def knn_join(spark, sf_dir):
     """The four nearest points of every point, itself among them."""
     points = galaxies(spark, sf_dir)
-    return spatial.knn(points, points, 4, BOX, radius=60).select("q_id", "rank", "id", "d2")
+    return spatial.knn(points, points, 4, BOX).select("q_id", "rank", "id", "d2")
 
 
 @query(f"""with {GALAXIES}, {KNN}, hist as (select rank, cast(floor(sqrt(b.dx * b.dx + b.dy * b.dy) / 10) as integer) as i_rp, cast(floor(abs(b.dz) / 10) as integer) as i_pi, count(*) as n from near where rank > 1 group by all),
@@ -134,7 +134,7 @@ from grid g left join hist h on h.rank = g.k and h.i_rp <= g.i_rp and h.i_pi <=
 def knn_cdf(spark, sf_dir):
     """Share of queries whose k-th neighbour lies within (rp, pi)."""
     points = galaxies(spark, sf_dir)
-    near = spatial.knn(points, points, 4, BOX, radius=60).where("rank > 1")
+    near = spatial.knn(points, points, 4, BOX).where("rank > 1")
     cells = near.select(F.col("rank").cast("int").alias("k"), F.floor(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / 10).cast("int").alias("i_rp"), F.floor(F.abs("dz") / 10).cast("int").alias("i_pi"))
     hist = cells.where("i_rp < 5 and i_pi < 5").groupBy("k", "i_rp", "i_pi").agg(F.count(F.lit(1)).alias("n"))
     full = correlation.complete(hist.withColumn("k", F.col("k") - 2), k=3, i_rp=5, i_pi=5).withColumn("k", F.col("k") + 2)

@@ -45,10 +45,10 @@ def informative_bins(spark, sf_dir):
     return observables.informative(scaled, ("ell", "s"), "cdf", 0.45).select("cosmo_idx", "hod_idx", "ell", "s", "value")
 
 
-@query(f"with {MOCKS} select cast(unnest(range(11)) as integer) as step, unnest(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) as threshold from mocks")
+@query(f"with {MOCKS} select step, round(threshold, 9) as threshold from (select cast(unnest(range(11)) as integer) as step, unnest(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) as threshold from mocks)")
 def percentile_thresholds(spark, sf_dir):
     """Thresholds at even quantiles."""
-    return observables.quantile_grid(mocks(spark, sf_dir), "value", 10)
+    return observables.quantile_grid(mocks(spark, sf_dir), "value", 10).withColumn("threshold", F.round("threshold", 9))
 
 
 @query("select o_orderkey as sample, cast(ntile(7) over (order by o_orderkey) - 1 as integer) as part from orders")

@@ -185,12 +185,13 @@ def test_ogk_against_numpy(spark):
 
 def test_debias_and_matrix_checks(spark):
     assert statistics.debias(100, 10, method="hartlap") == 99 / 88
+    assert statistics.debias(100, 10, 4, method="percival-fisher") == 99 / 93
     b = 88 / (89 * 86)
     assert math.isclose(statistics.debias(100, 10, 4), 99 * (1 + b * 6) / 93)
     with pytest.raises(ValueError):
         statistics.debias(10, 2, method="none")
     assert statistics.is_positive_definite([[2, 1], [1, 2]]) and not statistics.is_positive_definite([[1, 2], [2, 1]])
-    assert [statistics.significant_condition(np.diag([1, c])) for c in (1, 1e-10, 0)] == [0, 1, 2]
+    assert [statistics.significant_condition(np.diag([1, c])) for c in (1, 1e-10, 0)] == [1, 2, 0]
     m = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 2.0), (1, 1, 3.0)], "i int, j int, value double")
     assert statistics.is_symmetric(m) and not statistics.is_symmetric(m.where("not (i = 1 and j = 0)"))
 
@@ -272,7 +273,7 @@ def test_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.load_merged(spark, [str(tmp_path / "none.parquet"), None], ("y",))
     assert files.load_merged(spark, [paths[0], str(tmp_path / "none.parquet")], ("y",)).count() == 2
-    (tmp_path / "cosmo.csv").write_text("root, omega , h\nabacus_cosm002,0.3,0.7\nabacus_cosm001,0.2,0.6\n")
+    (tmp_path / "cosmo.csv").write_text("root, omega , h\nmock_cosm002,0.3,0.7\nmock_cosm001,0.2,0.6\n")
     got = files.cosmologies(spark, str(tmp_path / "cosmo.csv"), [1], {"omega": "om"}).collect()
     assert [tuple(r) for r in got] == [(1, 0.2)]
     files.save_parameters(spark.createDataFrame([(1.0, 2.123456)], "b double, a double"), str(tmp_path / "p"), ["a", "zz", "b"])
@@ -332,6 +333,9 @@ def test_catalog_generation(spark):
     p = 0.5 * math.erfc(-0.5 / (math.sqrt(2) * 0.5))
     lam = (10**13.5 - 0.5 * 1e13) / 1e14 * p
     assert abs(n[True] / 20_000 - p) < 0.015 and abs(n[False] / 20_000 - lam) < 0.015
+    heavy = spark.range(400).select("id", F.lit(17.0).alias("log_mass"), *[F.lit(0.0).alias(c) for c in "xyz"])
+    many = [r["count"] for r in catalogs.populate(heavy, log_cut=13.0, sigma=0.5, log_m1=14.0, kappa=0.0, alpha=1.0, seed=0).where("not central").groupBy("halo_id").count().collect()]
+    assert abs(sum(many) / 400 - 1000) < 5 and abs(np.std(many) - 1000**0.5) < 4
     assert catalogs.check_parameters({"a", "b"}, {"a"}) == ["b"]
     with pytest.raises(ValueError):
         catalogs.check_parameters({"a"}, {"b"})
@@ -384,3 +388,40 @@ def test_spanning_forest_query_equals_kruskal_on_nearest_neighbours(spark, small
     got = structures.spanning_forest(spark, small).toPandas()
     assert len(got) == len(want) and np.allclose(np.sort(got["w"].to_numpy(float)), want)
     assert max(want) > 60
+
+
+def test_ranks_and_quantiles_of_whole_tables(spark):
+    from starloom.operators import ranks
+
+    rng = np.random.default_rng(2)
+    values = [float(x) for x in rng.integers(0, 40, 500)] + [None, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double").repartition(7)
+    got = sorted((r["rank"], r.v, r.total) for r in ranks.ranked(df, ["v", "id"]).collect())
+    assert [g[0] for g in got] == list(range(502)) and {g[2] for g in got} == {502}
+    want = sorted(values, key=lambda x: (x is not None, x))
+    assert [g[1] for g in got] == want
+    real = [v for v in values if v is not None]
+    shares = [0.0, 0.1, 0.37, 0.5, 1.0]
+    assert np.allclose(ranks.quantiles(df, "v", shares).first()["quantiles"], np.quantile(real, shares))
+    assert ranks.quantiles(df.limit(0), "v", shares).first()["quantiles"] == []
+    cdf = statistics.ecdf(df.where("v is not null"), "v").collect()
+    assert all(math.isclose(r.cdf, sum(x <= r.v for x in real) / len(real)) for r in cdf) and len(cdf) == 500
+    runs = statistics.islands(spark.createDataFrame([(i,) for i in (1, 2, 3, 7, 8, 12, 2)], "i long"), "i").collect()
+    assert sorted((r.first, r.last) for r in runs) == [(1, 3), (7, 8), (12, 12)]
+    assert sorted(r.part for r in catalogs.split_evenly(spark.range(10).toDF("sample"), 4).collect()) == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3]
+
+
+def test_knn_in_sparse_and_tiny_tables(spark):
+    rng = np.random.default_rng(5)
+    for n, k in ((3, 4), (40, 6)):
+        p = rng.uniform(0, 100, (n, 3))
+        p[: n // 2] = p[0] + rng.uniform(0, 1, (n // 2, 3))
+        p %= 100
+        df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double, z double")
+        got = {}
+        for r in spatial.knn(df, df, k, 100.0, exclude_self=True).collect():
+            got.setdefault(r.q_id, {})[r["rank"]] = r.id
+        for i in range(n):
+            d = (p - p[i] + 50) % 100 - 50
+            near = sorted((float((x * x).sum()), j) for j, x in enumerate(d) if j != i)[:k]
+            assert [got[i][r + 1] for r in range(len(near))] == [j for _, j in near]
