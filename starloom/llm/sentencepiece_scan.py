@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -83,6 +84,22 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
+class _Solved(dict):
+    """Stretch to the bytes of its ids; emptied when full, very long stretches are not kept."""
+
+    def __init__(self, solve):
+        super().__init__()
+        self.solve = solve
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = self.solve(stretch)
+        if len(stretch) <= 64:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[stretch] = found
+        return found
+
+
 class PieceModel:
     """Pieces, ranks and the few settings of a model file that encoding needs."""
 
@@ -125,7 +142,17 @@ class PieceModel:
                 self.table.setdefault(self.pieces[i][:n])
         self.table.update(self.ids)
         self.space_leads = not any(SPACE in self.pieces[i].lstrip(SPACE) for i in usable)
-        self.memo: dict = {}
+        #: Neighbouring characters inside of pieces; between any others no piece can straddle.
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        #: Words without their leading space letter, and parts of words.
+        self.memo, self.parts = _Solved(self.solve_word), _Solved(self.solve_part)
+        #: Lengths of the pieces that begin with three characters, the longest first, and those of any piece.
+        self.reach: dict = {}
+        for piece in sorted(self.ids, key=len, reverse=True):
+            if len(piece) > 2 and (not (found := self.reach.setdefault(piece[:3], [])) or found[-1] != len(piece)):
+                found.append(len(piece))
+        for found in self.reach.values():
+            found += [2, 1]
         self.pairs: dict = {}
         #: What each id adds to the bytes of a decoded text; control pieces add nothing (kinds are fixed by the format).
         self.spelled = [bytes([int(p[3:5], 16)]) if k == 6 else " ⁇ ".encode() if k == 2 else b"" if k == 3 else p.encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
@@ -212,6 +239,30 @@ class PieceModel:
                     open_.append(self.candidates(text, at))
         return path
 
+    def solve_part(self, text: str) -> bytes:
+        """Ids of a short stretch: :meth:`best_path` from its beginning to its end, with lengths looked up instead of tried."""
+        ids, pairs, reach, n = self.ids, self.pairs, self.reach, len(text)
+        path, open_, before, at, tried = [], [], "", 0, set()
+        sizes = iter(reach.get(text[:3], (2, 1)))
+        while at < n:
+            for size in sizes:
+                end = at + size
+                if end in tried or end > n:
+                    continue
+                piece = text[at:end]
+                if piece in ids or size == 1:
+                    weight = pairs.get((before, piece))
+                    if (self.weight(before, piece) if weight is None else weight) == 0.0:
+                        tried.add(end)
+                        open_.append(sizes)
+                        path.append(piece)
+                        before, at, sizes = piece, end, iter(reach.get(text[end : end + 3], (2, 1)))
+                        break
+            else:
+                at -= len(path.pop())
+                sizes, before = open_.pop(), path[-1] if path else ""
+        return self.spell(path)
+
     def states(self, text: str, at: int) -> tuple:
         """(characters before, characters after) of the pieces that end at or straddle a place."""
         if at <= 0 or at >= len(text) or self.is_cut(text, at):
@@ -225,7 +276,7 @@ class PieceModel:
 
     def is_cut(self, text: str, at: int) -> bool:
         """Whether no piece can straddle this place."""
-        return self.space_leads and text[at] == SPACE and text[at - 1] != SPACE
+        return text[at - 1 : at + 1] not in self.joined
 
     def transfer(self, text: str, start: int, stop: int) -> tuple[int, int, np.ndarray]:
         """(entry states, exit states, pairs of weight 0) of the chunk [start, stop) of ``text``.
@@ -284,33 +335,44 @@ class PieceModel:
         return (None, None) if places[0] < 0 else tuple(places)
 
     def words(self, text: str) -> list[str]:
-        """Stretches that begin at the space letter and end before the next word's."""
+        """Stretches that begin at the space letter and end before the next word's, without that letter."""
         if SPACE * 2 not in text and text.startswith(SPACE):
-            return [SPACE + w for w in text[1:].split(SPACE)]
+            return text[1:].split(SPACE)
         out, start = [], 0
         at = text.find(SPACE, 1)
         while at >= 0:
             if text[at - 1] != SPACE:
-                out.append(text[start:at])
+                out.append(text[start + 1 : at])
                 start = at
             at = text.find(SPACE, at + 1)
-        return [*out, text[start:]] if text else []
+        return [*out, text[start + 1 :]] if text else []
 
     def spell(self, pieces: list[str]) -> bytes:
         """Ids of pieces as little-endian 32-bit numbers."""
-        ids = [i for p in pieces for i in self.expand(p)]
+        try:
+            return array("I", [self.ids[p] for p in pieces]).tobytes()
+        except KeyError:
+            ids = [i for p in pieces for i in self.expand(p)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def word(self, word: str) -> bytes:
-        """Ids of one stretch."""
-        found = self.memo.get(word)
-        if found is None:
-            found = self.spell(self.best_path(word))
-            if len(word) <= 64:
-                if len(self.memo) >= MEMO_WORDS:
-                    self.memo.clear()
-                self.memo[word] = found
-        return found
+    def solve_word(self, word: str) -> bytes:
+        """Ids of a word, from those of the parts between places that no piece straddles."""
+        text, joined, out, start = SPACE + word, self.joined, [], 0
+        for at in range(1, len(text)):
+            if text[at - 1 : at + 1] not in joined:
+                out.append(self.parts[text[start:at]])
+                start = at
+        out.append(self.parts[text[start:]])
+        return b"".join(out)
+
+    def stretches(self, text: str) -> bytes:
+        """Ids of a text that begins with the space letter, or of any text where that letter doesn't lead."""
+        if not text:
+            return b""
+        if not self.space_leads or text[0] != SPACE:
+            return self.spell(self.best_path(text))
+        memo = self.memo
+        return b"".join([memo[w] for w in self.words(text)])
 
     def backtrace(self, text: str, start: int, stop: int, enter: int, leave: int) -> bytes:
         """Ids of the pieces that begin in a chunk, on its path between two states."""
@@ -321,14 +383,16 @@ class PieceModel:
         if first is None or at > first:
             return self.spell(self.best_path(text, before, at, goal))
         head = self.spell(self.best_path(text, before, at, first))
-        middle = b"".join([self.word(w) for w in self.words(text[first:last])])
-        return head + middle + self.spell(self.best_path(text, "", last, goal))
+        return head + self.stretches(text[first:last]) + self.spell(self.best_path(text, "", last, goal))
 
     def encode(self, normal: str) -> bytes:
         """A text of one chunk: one stretch after the other."""
-        if not self.space_leads:
+        if not self.space_leads or normal.startswith(SPACE):
+            return self.stretches(normal)
+        first = self.cuts(normal, 0, max(0, len(normal) - 1))[0]
+        if first is None:
             return self.spell(self.best_path(normal))
-        return b"".join(map(self.word, self.words(normal)))
+        return self.spell(self.best_path(normal[:first])) + self.stretches(normal[first:])
 
     def chunks(self, normal: str, size: int = CHUNK, slack: int = SLACK) -> list[tuple[int, int]]:
         """(start, end) of chunks, cut at places no piece straddles where there are any near."""
