@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from starloom.plans import clustering, fields, observables, structures, tables, views
+from starloom.plans import catalogs, clustering, fields, observables, power, structures, tables, views
 
-__all__ = ["clustering", "fields", "flagship", "observables", "oracle_sql", "queries", "structures", "tables"]
+__all__ = ["catalogs", "clustering", "fields", "flagship", "observables", "oracle_sql", "power", "queries", "structures", "tables"]
 
 
 def flagship(spark, sf_dir):

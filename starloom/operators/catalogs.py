@@ -128,3 +128,43 @@ def split_evenly(samples: DataFrame, parts: int, order: str = "sample") -> DataF
     """``samples`` with the number of its part; the first parts are larger."""
     placed = ranked(samples, [order], "_rank", "_total")
     return placed.withColumn("part", even_part(F.col("_rank"), F.col("_total"), parts)).drop("_rank", "_total")
+
+
+#: Priority, observations and programme of each target class (fixed values).
+TARGETS = {"LRG": (3200, 2, "DARK"), "QSO": (3400, 4, "DARK"), "ELG_HIP": (3200, 2, "DARK"), "ELG_LOP": (3100, 2, "DARK"), "ELG_VLO": (3000, 2, "DARK"), "BGS": (2100, 1, "BRIGHT")}
+
+
+def target_columns(rows: DataFrame, tracer: str = "tracer", targets: dict = TARGETS) -> DataFrame:
+    """``rows`` with priority, numbers of observations and programme of their class; an unknown class raises."""
+    known = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("p"), F.lit(v[1]).alias("n"), F.lit(v[2]).alias("o")))])
+    found = F.coalesce(known[F.col(tracer)], F.raise_error(F.concat(F.lit("unknown class "), F.coalesce(F.col(tracer), F.lit("null")))))
+    out = rows.withColumn("_t", found)
+    return out.select(*rows.columns, F.col("_t.p").alias("priority_init"), F.col("_t.p").alias("priority"), F.col("_t.n").alias("numobs_init"), F.col("_t.n").alias("numobs_more"), F.col("_t.o").alias("obsconditions"))
+
+
+def permuted_ids(rows: DataFrame, key: str, seed: int = 0, name: str = "target_id") -> DataFrame:
+    """``rows`` with numbers from 1 in a scattered order, the same in every run: that of a hash of key and seed."""
+    mixed = rows.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
+    return ranked(mixed, ["_h"], name, "_total").withColumn(name, F.col(name) + 1).drop("_h", "_total")
+
+
+def jittered(points: DataFrame, sigma: float, box: float, seed: int = 42) -> DataFrame:
+    """Points moved by a normal step along each axis, wrapped into the box."""
+    return points.withColumns({c: F.pmod(F.col(c) + F.randn(seed + i) * sigma, F.lit(float(box))) for i, c in enumerate("xyz")})
+
+
+def sub_box(x: Column, y: Column, z: Column, box: float, split: int) -> Column:
+    """Number of the half-open sub-box of a position, ``split`` along each axis."""
+    ix, iy, iz = (F.least(F.floor(c * split / box), F.lit(split - 1)) for c in (x, y, z))
+    return ((ix * split + iy) * split + iz).cast("int")
+
+
+def parameter_lists(all_names: list[str], fixed: dict[str, float] | None = None, free: list[str] | None = None) -> tuple[list[str], dict[str, float]]:
+    """(free names in order, fixed values): what isn't named free, or is given a value, is fixed; unknown names raise."""
+    fixed = dict(fixed or {})
+    check_parameters(set(all_names), set(fixed) | set(free or []))
+    left = [n for n in all_names if n not in fixed and (free is None or n in free)]
+    lacking = [n for n in all_names if n not in fixed and n not in left]
+    if lacking:
+        raise ValueError(f"neither free nor fixed: {lacking}")
+    return left, fixed

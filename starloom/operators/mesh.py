@@ -17,11 +17,12 @@ CELL = ("ix", "iy", "iz")
 
 
 def corner_weights(kind: str, x: Column, cell: int) -> list[tuple[Column, Column]]:
-    """(cell index, integer weight) of a coordinate; weights add up to ``weight_unit``.
+    """(cell index, weight) of a coordinate; weights add up to ``weight_unit`` and are integers but for ``pcs``.
 
     ``ngp``: its own cell. ``cic``: shares of the two nearest lower corners.
     ``tsc``: shares of the three cells around it, by quadratic splines about
-    cell centres.
+    cell centres. ``pcs``: shares of the four nearest lower corners, by cubic
+    splines.
     """
     i = F.floor(x / cell).cast("long")
     d = x - i * cell
@@ -33,11 +34,22 @@ def corner_weights(kind: str, x: Column, cell: int) -> list[tuple[Column, Column
         # in units of cell**2 / 8, with u = 2d - cell twice the offset from the centre
         u = 2 * d - cell
         return [(i - 1, (cell - u) * (cell - u)), (i, 6 * F.lit(cell * cell) - 2 * u * u), (i + 1, (cell + u) * (cell + u))]
+    if kind == "pcs":
+        # shares by distance from each of the four nearest lower corners, as doubles: integers would overflow
+        u = d / float(cell)
+
+        def near(a: Column) -> Column:
+            return (4 - 6 * a * a + 3 * a * a * a) / 6
+
+        def far(a: Column) -> Column:
+            return (2 - a) * (2 - a) * (2 - a) / 6
+
+        return [(i - 1, far(u + 1)), (i, near(u)), (i + 1, near(1 - u)), (i + 2, far(2 - u))]
     raise ValueError(f"unknown resampler {kind!r}")
 
 
 def weight_unit(kind: str, cell: int) -> int:
-    return {"ngp": 1, "cic": cell, "tsc": 8 * cell * cell}[kind] ** 3
+    return {"ngp": 1, "cic": cell, "tsc": 8 * cell * cell, "pcs": 1}[kind] ** 3
 
 
 def corners(points: DataFrame, cells: int, cell: int, kind: str, wrap: bool = True) -> DataFrame:
@@ -132,3 +144,15 @@ def readout(mesh: DataFrame, points: DataFrame, cells: int, cell: int, kind: str
     at = corners(points, cells, cell, kind)
     joined = at.join(mesh, list(CELL))
     return joined.groupBy(*keep).agg((F.sum(F.col("_share") * F.col("value")) / float(weight_unit(kind, cell))).alias("value"))
+
+
+def density_ratio(data: DataFrame, randoms: DataFrame, threshold: DataFrame, cells: int) -> DataFrame:
+    """Density over the expected one where there are enough randoms; ``EMPTY`` elsewhere, above every real value."""
+    sums = data.agg(F.sum("value").alias("sd")).crossJoin(randoms.agg(F.sum("value").alias("sr"))).select((F.col("sd") / F.col("sr")).alias("alpha"))
+    r = randoms.select(*CELL, F.col("value").alias("r"))
+    both = full(data, cells).join(r, list(CELL), "left").fillna(0.0, ["r"]).crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(threshold))
+    return both.select(*CELL, F.when(F.col("r") > F.col("threshold"), F.col("value") / (F.col("alpha") * F.col("r"))).otherwise(EMPTY).alias("value"))
+
+
+#: Marks cells outside of a survey (fixed value).
+EMPTY = 0.9e30

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.geometry import effective_radius
-from starloom.operators.graph import roots
+from starloom.operators.graph import components, roots
+from starloom.operators.spatial import cell_pairs
+from starloom.sources.shared import cut_lineage
 
 #: Neighbours in the order in which the first of equal values wins (fixed by the method).
 STEPS = ((0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
@@ -107,3 +109,49 @@ def minkowski(mesh: DataFrame, n: int, cell: float, thresholds: list[float], mas
     sums = rows.groupBy("t").agg(F.count(F.lit(1)).alias("vol"), *[F.sum(x).alias(f"s{j}") for j, x in enumerate(v)])
     scale = (1.0, 2.0 / 9.0, 2.0 / 9.0, 1.0)
     return sums.select(F.col("t").alias("threshold"), *[(F.col(f"s{j}") * scale[j] / F.col("vol") / float(cell) ** j).alias(f"v{j}") for j in range(4)])
+
+
+def member_values(zones: DataFrame, mesh: DataFrame, n: int) -> DataFrame:
+    """``zones`` with the value of each cell."""
+    at = mesh.select(voxel(F.col("ix"), F.col("iy"), F.col("iz"), n).alias("node"), "value")
+    return zones.join(at, "node")
+
+
+def nested(voids: DataFrame, box: float) -> DataFrame:
+    """(id, central, satellites): larger voids absorb the smaller ones whose centre they hold.
+
+    Voids (id, x, y, z, radius) are taken from the largest on, ties by id. A
+    central takes every smaller void within its radius: those without a central,
+    and those held by another central at a shorter distance. Absorption depends
+    on what came before, so it runs group by group: groups are voids linked by
+    such distances, and one group goes to one task. Not periodic.
+    """
+    import pandas as pd
+
+    reach = voids.agg(F.max("radius")).first()[0] or 1.0
+    near = cell_pairs(voids, None, float(reach), float(box), periodic=False, keep=("radius",))
+    near = near.where(F.col("d2") < F.pow(F.greatest("a_radius", "b_radius"), F.lit(2)))
+    big = (F.col("a_radius") > F.col("b_radius")) | ((F.col("a_radius") == F.col("b_radius")) & (F.col("a_id") < F.col("b_id")))
+    ends = [F.when(big, F.col("a_id")).otherwise(F.col("b_id")).alias("large"), F.when(big, F.col("b_id")).otherwise(F.col("a_id")).alias("small"), F.greatest("a_radius", "b_radius").alias("radius")]
+    links = cut_lineage(near.select(*ends, "d2"), "nested")
+    groups = components(links, "large", "small")
+
+    def absorb(frame: pd.DataFrame) -> pd.DataFrame:
+        holder, distance, count = {}, {}, {}
+        frame = frame.sort_values(["radius", "large", "small"], ascending=[False, True, True])
+        for large, part in frame.groupby("large", sort=False):
+            if large in holder:
+                continue
+            for small, d2 in zip(part["small"], part["d2"], strict=True):
+                if small in holder and distance[small] >= d2:
+                    continue
+                if small in holder:
+                    count[holder[small]] -= 1
+                holder[small], distance[small] = large, d2
+                count[large] = count.get(large, 0) + 1
+        rows = [(i, holder.get(i, i), count.get(i, 0) if i not in holder else 0) for i in sorted({*frame["large"], *frame["small"]})]
+        return pd.DataFrame(rows, columns=["id", "central", "satellites"])
+
+    done = links.join(groups, F.col("large") == F.col("node")).groupBy("component").applyInPandas(absorb, "id long, central long, satellites long")
+    alone = voids.select("id").join(done.select("id"), "id", "left_anti")
+    return done.unionByName(alone.select("id", F.col("id").alias("central"), F.lit(0).cast("long").alias("satellites")))

@@ -65,3 +65,33 @@ def redshift_cut(rows: DataFrame, low: float, high: float) -> DataFrame:
 def voxel_mask(randoms: DataFrame, least: float) -> DataFrame:
     """``masked`` is 1 where a cell holds at most ``least`` randoms."""
     return randoms.withColumn("masked", F.when(F.col("value") <= least, 1).otherwise(0))
+
+
+def log_value(value: str, shift: float = 0.0):
+    return F.log10(F.col(value) + shift)
+
+
+def asinh_value(value: str):
+    return F.asinh(value)
+
+
+def triangle_weight(rows: DataFrame, sides: tuple[str, str, str], value: str = "value", scale: float = 1e5) -> DataFrame:
+    """Values times the product of the three sides, over a scale."""
+    return rows.withColumn(value, F.col(sides[0]) * F.col(sides[1]) * F.col(sides[2]) * F.col(value) / scale)
+
+
+def per_volume(rows: DataFrame, value: str = "value", factor: float = 64.0) -> DataFrame:
+    """Values of small mocks over the volume they lack, for sums over sub-boxes."""
+    return rows.withColumn(value, F.col(value) / factor)
+
+
+def compatible(*tables: DataFrame, keys: tuple[str, ...] = ()) -> None:
+    """Raises unless all tables have the same columns and, in ``keys``, the same labels."""
+    first = tables[0]
+    for other in tables[1:]:
+        if other.columns != first.columns:
+            raise ValueError(f"columns differ: {first.columns} and {other.columns}")
+        for key in keys:
+            a, b = first.select(key).distinct(), other.select(key).distinct()
+            if not a.exceptAll(b).unionByName(b.exceptAll(a)).isEmpty():
+                raise ValueError(f"labels of {key} differ")

@@ -131,3 +131,84 @@ def check_bounds(points: DataFrame, length: float, low: float = 0.0) -> DataFram
         ok = (F.col(c) >= low) & (F.col(c) < low + length)
         fine = ok if fine is None else fine & ok
     return points.where(F.when(fine, F.lit(True)).otherwise(F.raise_error(F.lit(f"a coordinate lies outside of [{low}, {low + length})")).cast("boolean")))
+
+
+def pixel(ra: Column, dec: Column, nside: int) -> Column:
+    """Number of the equal-area pixel of a direction in degrees, rings counted from the north pole."""
+    n = nside
+    z, turn = F.sin(F.radians(dec)), F.pmod(ra, F.lit(360.0)) / 90.0
+    # belt around the equator: rows of 4 n pixels, shifted by half a pixel in every other one
+    up, down = F.floor(n * (0.5 + turn) - n * z * 0.75), F.floor(n * (0.5 + turn) + n * z * 0.75)
+    ring = n + 1 + up - down
+    odd = F.pmod(ring + 1, F.lit(2))
+    place = F.pmod(F.floor((up + down - n + odd + 1) / 2), F.lit(4 * n))
+    belt = 2 * n * (n - 1) + (ring - 1) * 4 * n + place
+    # caps: rows of 4, 8, 12, ... pixels from the pole
+    part, span = turn - F.floor(turn), n * F.sqrt(3 * (1 - F.abs(z)))
+    row = F.floor(part * span) + F.floor((1 - part) * span) + 1
+    at = F.pmod(F.floor(turn * row), 4 * row)
+    cap = F.when(z > 0, 2 * row * (row - 1) + at).otherwise(12 * n * n - 2 * row * (row + 1) + at)
+    return F.when(F.abs(z) <= 2 / 3, belt).otherwise(cap).cast("long")
+
+
+def on_pixels(rows: DataFrame, mask: DataFrame, column: str = "pix") -> DataFrame:
+    """Rows whose pixel is in the mask."""
+    return rows.join(mask.select(column), column, "left_semi")
+
+
+def covered(mask: DataFrame, nside: int) -> DataFrame:
+    """One row: the share of the sphere that the pixels of a mask cover."""
+    return mask.agg((F.count_distinct("pix") / float(12 * nside * nside)).alias("fraction"))
+
+
+def unmasked(maps: DataFrame, value: str) -> DataFrame:
+    """A map with 0, which marks masked pixels, as null."""
+    return maps.withColumn(value, F.nullif(F.col(value), F.lit(0)))
+
+
+def nearest(rows: DataFrame, groups: list, label: str, value: str, target: float) -> DataFrame:
+    """(groups, nearest): the label whose value is nearest the target, ties to the smaller label."""
+    return rows.groupBy(*groups).agg(F.min_by(label, F.struct(F.abs(F.col(value) - target), F.col(label))).alias("nearest"))
+
+
+def density_ceiling(rows: DataFrame, group: str, column: str, low: float, high: float, width: float, margin: float = 1.1) -> DataFrame:
+    """(group, top): the largest count per unit of ``column`` within [low, high), with a margin."""
+    bins = rows.where((F.col(column) >= low) & (F.col(column) < high)).groupBy(group, F.floor(F.col(column) / width).alias("_b")).agg((F.count(F.lit(1)) / float(width)).alias("_nz"))
+    return bins.groupBy(group).agg((F.max("_nz") * margin).alias("top"))
+
+
+def in_boxes(x: Column, y: Column, z: Column, side: float) -> Column:
+    """The L of three boxes that a lightcone is cut from: the one at the origin and those above it in y and z."""
+    return (x < side) & (y < 2 * side) & (z < 2 * side) & ((y < side) | (z < side))
+
+
+def shell_in_boxes(samples: DataFrame, side: float, low: float, high: float) -> DataFrame:
+    """One row: the volume of a spherical shell about the origin within the L of boxes.
+
+    ``samples`` are uniform points (ux, uy, uz) of the unit cube; each serves all three boxes.
+    """
+    boxes = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for v, c in zip(shift, "abc", strict=True)]) for shift in ((0, 0, 0), (0, side, 0), (0, 0, side))])
+    placed = samples.select("ux", "uy", "uz", F.explode(boxes).alias("s"))
+    r2 = sum((F.pow(F.col(f"u{c}") * side + F.col(f"s.{k}"), F.lit(2)) for c, k in (("y", "b"), ("z", "c"))), F.pow(F.col("ux") * side + F.col("s.a"), F.lit(2)))
+    inside = ((r2 > low * low) & (r2 < high * high)).cast("double")
+    return placed.agg((F.avg(inside) * (3 * side**3)).alias("volume"))
+
+
+def lightcone_density(rows: DataFrame, samples: DataFrame, side: float, low: float, high: float, full_sky: bool = False) -> DataFrame:
+    """One row: objects per volume of a lightcone's shell; a mirrored full sky has eight times the volume."""
+    volume = shell_in_boxes(samples, side, low, high)
+    return rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(volume)).select("n", (F.col("n") / (F.col("volume") * (8 if full_sky else 1))).alias("density"))
+
+
+def lightcone_randoms(randoms: DataFrame, side: float) -> DataFrame:
+    """Random directions and distances (ra, dec, distance) with their positions, within the L of boxes."""
+    from starloom.functions.geometry import sky_to_cartesian
+
+    placed = randoms.withColumns(dict(zip("xyz", sky_to_cartesian(F.col("ra"), F.col("dec"), F.col("distance")), strict=True)))
+    return placed.where(in_boxes(F.col("x"), F.col("y"), F.col("z"), side))
+
+
+def near_faces(points: DataFrame, box: float, reach: float) -> DataFrame:
+    """Points with their periodic copies within ``reach`` outside of any face, edge or corner."""
+    bounds = {c: (-reach, box + reach) for c in "xyz"}
+    return replicate(points, box, bounds)

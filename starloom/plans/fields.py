@@ -24,7 +24,7 @@ def painted(name: str, source: str) -> str:
 
 LATTICE = "lattice as (select cast(i as integer) as ix, cast(j as integer) as iy, cast(k as integer) as iz from range(20) a(i), range(20) b(j), range(20) c(k))"
 DELTA = "delta as (select ix, iy, iz, coalesce(value, 0) / (select sum(value) / 8000.0 from rho) - 1 as value from lattice left join rho using (ix, iy, iz))"
-QUERY = "points as (select i as id, (i * 7919 + (i % 97) * 331 + 42) % 1000 as x, (i * 104729 + (i % 89) * 617 + 42) % 1000 as y, (i * 15485863 + (i % 83) * 233 + 42) % 1000 as z from range(5000) t(i))"
+QUERY = "points as (select i as id, (i * 7919 + (i % 97) * 331 + 42) % 1000 as x, (i * 104729 + (i % 89) * 617 + 42) % 1000 as y, (i * 15485863 + (i % 83) * 233 + 42) % 1000 as z from (select unnest(range((select 5 * count(*) from galaxies))) as i))"
 READ = f"""readout as (select id, sum({share('x', 'a')} * {share('y', 'b')} * {share('z', 'c')} * value) / 125000.0 as delta
   from (select *, cast((x // 50 + a) % 20 as integer) as ix, cast((y // 50 + b) % 20 as integer) as iy, cast((z // 50 + c) % 20 as integer) as iz from points, {CORNERS}) join delta using (ix, iy, iz) group by id)"""
 
@@ -99,7 +99,7 @@ def mesh_smoothing(spark, sf_dir):
 def mesh_readout(spark, sf_dir):
     """The contrast at scattered points."""
     delta = mesh.contrast(mesh.paint(galaxies(spark, sf_dir), N, CELL), N)
-    return mesh.readout(delta, hashed_points(spark, 5000), N, CELL).withColumn("value", F.round("value", 8))
+    return mesh.readout(delta, query_points(spark, sf_dir), N, CELL).withColumn("value", F.round("value", 8))
 
 
 @query("select cast(i * 400 + j * 20 + k as bigint) as id, cast(i as integer) as ix, cast(j as integer) as iy, cast(k as integer) as iz, (i + 0.5) * 50 as x, (j + 0.5) * 50 as y, (k + 0.5) * 50 as z from range(20) a(i), range(20) b(j), range(20) c(k)".replace("(i + 0.5) * 50", "cast((i + 0.5) * 50 as double)").replace("(j + 0.5) * 50", "cast((j + 0.5) * 50 as double)").replace("(k + 0.5) * 50", "cast((k + 0.5) * 50 as double)"))
@@ -108,13 +108,18 @@ def lattice_points(spark, sf_dir):
     return lattice(spark, N, CELL)
 
 
+def query_points(spark, sf_dir):
+    """Five scattered points for each galaxy."""
+    return hashed_points(spark, 5 * galaxies(spark, sf_dir).count())
+
+
 EDGES = "edges as (select quantile_cont(delta, [0.2, 0.4, 0.6, 0.8]) as e from readout)"
 SPLIT = "split as (select id, delta, cast((delta > e[1])::int + (delta > e[2])::int + (delta > e[3])::int + (delta > e[4])::int as integer) as quantile from readout, edges)"
 
 
 def _split(spark, sf_dir):
     delta = mesh.contrast(mesh.paint(galaxies(spark, sf_dir), N, CELL), N)
-    points = hashed_points(spark, 5000)
+    points = query_points(spark, sf_dir)
     read = mesh.readout(delta, points, N, CELL).withColumnRenamed("value", "delta")
     return statistics.quantile_split(read.withColumn("delta", F.round("delta", 9)), "delta", 5).join(points, "id")
 
@@ -170,5 +175,5 @@ def density_split_auto(spark, sf_dir):
 def counts_in_cells(spark, sf_dir):
     """Distribution of densities at query points (counts in cells)."""
     delta = mesh.contrast(mesh.paint(galaxies(spark, sf_dir), N, CELL), N)
-    read = mesh.readout(delta, hashed_points(spark, 5000), N, CELL).withColumn("value", F.round("value", 9))
+    read = mesh.readout(delta, query_points(spark, sf_dir), N, CELL).withColumn("value", F.round("value", 9))
     return read.groupBy(F.floor((F.col("value") + 1) * 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from starloom.operators import catalogs, inference, labelled, observables, spatial, statistics
+from starloom.operators import catalogs, inference, labelled, observables, sky, spatial, statistics
 from starloom.plans.views import GALAXIES, MEASUREMENTS, MOCKS, differences, query
 from starloom.sources.points import BOX, galaxies, measurements, mocks, table
 
@@ -86,7 +86,7 @@ def log_likelihood(spark, sf_dir):
 @query(f"with {MOCKS} select sample, feature, round(log10(value + 1000), 9) as log_value, round(asinh(value), 9) as asinh_value from mocks")
 def output_transforms(spark, sf_dir):
     """Logarithm and inverse hyperbolic sine."""
-    return mocks(spark, sf_dir).select("sample", "feature", F.round(F.log10(F.col("value") + 1000), 9).alias("log_value"), F.round(F.asinh("value"), 9).alias("asinh_value"))
+    return mocks(spark, sf_dir).select("sample", "feature", F.round(observables.log_value("value", 1000), 9).alias("log_value"), F.round(observables.asinh_value("value"), 9).alias("asinh_value"))
 
 
 @query(f"with {GALAXIES}, e as (select quantile_cont(w * 1000 + z, [0, 1/6, 2/6, 3/6, 4/6, 5/6, 1]) as q from galaxies) select id, cast(i - 1 as integer) as sextile from galaxies, e, range(1, 7) t(i) where w * 1000 + z > q[i] and w * 1000 + z < q[i + 1]")
@@ -95,20 +95,44 @@ def open_quantile_samples(spark, sf_dir):
     return observables.open_quantiles(galaxies(spark, sf_dir).withColumn("v", F.col("w") * 1000 + F.col("z")), "v", 6).select("id", F.col("sample").alias("sextile"))
 
 
-@query(f"with {GALAXIES}, m as (select (x // 100) * 100 + (y // 100) * 10 + z // 100 as pix, count(*) as n from galaxies group by 1) select pix, count(*) as n from (select (x // 100) * 100 + (y // 100) * 10 + z // 100 as pix from galaxies) where pix in (select pix from m where n % 2 = 0) group by 1")
+NSIDE = 8
+_UP, _DOWN = "floor(8 * (0.5 + t) - 8 * s * 0.75)", "floor(8 * (0.5 + t) + 8 * s * 0.75)"
+_ROW = "(floor((t - floor(t)) * 8 * sqrt(3 * (1 - abs(s)))) + floor((1 - (t - floor(t))) * 8 * sqrt(3 * (1 - abs(s)))) + 1)"
+PIXELS = f"""dirs as (select id, w, sin(radians(z * 0.18 - 90 + 0.01)) as s, ((x * 0.36 + 0.013) % 360) / 90 as t from galaxies),
+pixels as (select id, w, cast(case when abs(s) <= 2.0 / 3 then 112 + (9 + {_UP} - {_DOWN} - 1) * 32 + ((floor(({_UP} + {_DOWN} - 8 + ((9 + {_UP} - {_DOWN} + 1) % 2 + 2) % 2 + 1) / 2) % 32) + 32) % 32
+  when s > 0 then 2 * {_ROW} * ({_ROW} - 1) + floor(t * {_ROW}) % (4 * {_ROW}) else 768 - 2 * {_ROW} * ({_ROW} + 1) + floor(t * {_ROW}) % (4 * {_ROW}) end as bigint) as pix from dirs)"""
+
+
+def _pixels(spark, sf_dir):
+    ra, dec = F.col("x") * 0.36 + 0.013, F.col("z") * 0.18 - 90 + 0.01
+    return galaxies(spark, sf_dir).select("id", "w", sky.pixel(ra, dec, NSIDE).alias("pix"))
+
+
+@query(f"with {GALAXIES}, {PIXELS}, m as (select pix from pixels group by 1 having count(*) % 2 = 0) select pix, count(*) as n, cast(sum(w) as bigint) as w from pixels where pix in (select pix from m) group by 1")
 def pixel_mask(spark, sf_dir):
-    """Rows on the pixels of a mask."""
-    pix = (F.floor(F.col("x") / 100) * 100 + F.floor(F.col("y") / 100) * 10 + F.floor(F.col("z") / 100)).alias("pix")
-    rows = galaxies(spark, sf_dir).select(pix)
-    mask = rows.groupBy("pix").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0").select("pix")
-    return rows.join(mask, "pix", "left_semi").groupBy("pix").agg(F.count(F.lit(1)).alias("n"))
+    """Rows on the pixels of a mask of equal areas."""
+    rows = _pixels(spark, sf_dir)
+    mask = rows.groupBy("pix").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0")
+    return sky.on_pixels(rows, mask).groupBy("pix").agg(F.count(F.lit(1)).alias("n"), F.sum("w").cast("long").alias("w"))
+
+
+@query(f"with {GALAXIES}, {PIXELS}, m as (select pix from pixels where w = 1 group by 1) select count(*) / 768.0::double as fraction from m")
+def sky_fraction(spark, sf_dir):
+    """Share of the sphere that a mask covers."""
+    return sky.covered(_pixels(spark, sf_dir).where("w = 1"), NSIDE)
+
+
+@query("select vec_id as pix, nullif(cast(floor(embedding[1] * 10) as bigint), 0) as kappa from embeddings")
+def convergence_map(spark, sf_dir):
+    """A map whose zeros are masked pixels."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pix"), F.floor(F.col("embedding")[0] * 10).cast("long").alias("kappa"))
+    return sky.unmasked(rows, "kappa")
 
 
 @query(f"with {GALAXIES}, h as (select tracer, z // 50 as bin, count(*) / 50.0 as nz from galaxies where z between 200 and 699 group by all) select tracer, max(nz) * 1.1 as top from h group by 1")
 def density_ceiling(spark, sf_dir):
     """Largest n(z) within a window, with a margin."""
-    rows = galaxies(spark, sf_dir).where("z between 200 and 699").groupBy("tracer", F.floor(F.col("z") / 50).alias("bin")).agg((F.count(F.lit(1)) / 50.0).alias("nz"))
-    return rows.groupBy("tracer").agg((F.max("nz") * 1.1).alias("top"))
+    return sky.density_ceiling(galaxies(spark, sf_dir), "tracer", "z", 200, 700, 50)
 
 
 @query(f"with {GALAXIES} select tracer, least(1.0, 250.0 / count(*)) as keep from galaxies group by 1".replace("least(1.0, 250.0 / count(*))", "least(cast(1.0 as double), 250.0 / count(*))"))
@@ -127,8 +151,8 @@ def void_and_cluster_cuts(spark, sf_dir):
 @query("select p_partkey % 10 as cosmo_idx, p_brand as brand, arg_min(p_partkey, abs(p_retailprice - 1000) * 1000000 + p_partkey) as nearest from part group by all")
 def nearest_snapshot(spark, sf_dir):
     """The entry nearest a value, per group."""
-    near = F.struct(F.abs(F.col("p_retailprice") - 1000), F.col("p_partkey"))
-    return table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 10).alias("cosmo_idx"), F.col("p_brand").alias("brand")).agg(F.min_by("p_partkey", near).alias("nearest"))
+    rows = table(spark, sf_dir, "part")
+    return sky.nearest(rows, [(F.col("p_partkey") % 10).alias("cosmo_idx"), F.col("p_brand").alias("brand")], "p_partkey", "p_retailprice", 1000)
 
 
 @query(

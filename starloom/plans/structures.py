@@ -58,7 +58,6 @@ def singlets(spark, sf_dir):
 
 def _forest(spark, sf_dir):
     points = galaxies(spark, sf_dir)
-    # 60 is only where the search begins: its radius grows until every point has its neighbours
     near = spatial.knn(points, points, 20, BOX, exclude_self=True)
     edges = near.select(F.least("q_id", "id").alias("src"), F.greatest("q_id", "id").alias("dst"), F.sqrt("d2").alias("w")).distinct()
     return points, graph.minimum_spanning_forest(edges)

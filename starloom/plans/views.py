@@ -16,7 +16,7 @@ GALAXIES = """galaxies as (
 RANDOMS = """randoms as (
   select (l_partkey * 6151 + l_orderkey * 389) % 1000 as x, (l_suppkey * 9973 + l_orderkey * 617) % 1000 as y,
     cast(floor(l_extendedprice) as bigint) % 1000 as z, cast(1 as bigint) as w
-  from lineitem where l_linenumber = 1)"""
+  from lineitem)"""
 
 MEASUREMENTS = """measurements as (
   select l_suppkey % 10 as cosmo_idx, cast(l_linenumber as bigint) as hod_idx,

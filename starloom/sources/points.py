@@ -28,13 +28,10 @@ def galaxies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def randoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(x, y, z, w), from the first lines of orders."""
+    """(x, y, z, w), from lineitem."""
     part, key, supp = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_suppkey")
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where("l_linenumber = 1")
-        .select(((part * 6151 + key * 389) % BOX).alias("x"), ((supp * 9973 + key * 617) % BOX).alias("y"), (F.floor("l_extendedprice").cast("long") % BOX).alias("z"), F.lit(1).cast("long").alias("w"))
-    )
+    x, y, z = (part * 6151 + key * 389) % BOX, (supp * 9973 + key * 617) % BOX, F.floor("l_extendedprice").cast("long") % BOX
+    return table(spark, sf_dir, "lineitem").select(x.alias("x"), y.alias("y"), z.alias("z"), F.lit(1).cast("long").alias("w"))
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
