@@ -21,6 +21,10 @@ from starloom.functions.geometry import AXES, min_image
 from starloom.sources.shared import cut_lineage
 
 
+#: Points of a cell in one row.
+PACK = 1024
+
+
 def cells_per_side(box: float, radius: float) -> int:
     return max(1, int(box // radius))
 
@@ -73,10 +77,20 @@ def cell_pairs(left: DataFrame, right: DataFrame | None, radius: float, box: flo
     if auto:
         order = F.col("a_id") < F.col("b_id")
         rule = rule & (F.when(F.col("_same"), order).otherwise(F.lit(True)) if half else order)
-    pairs = a.join(b, "_cell").where(rule)
+    # a cell's points meet as one array, so the join sees cells and the pairs run inside one loop of generated code
+    near = a.join(packed(b), "_cell")
+    pairs = near.select(*a.columns, F.inline("_points")).where(rule)
     return pairs.select(*[c for c in pairs.columns if c[0] != "_"], *[x.alias(f"d{c}") for x, c in zip(d, AXES, strict=True)], d2.alias("d2"))
 
 
+def packed(points: DataFrame) -> DataFrame:
+    """(_cell, _points): the points of each cell, at most about ``PACK`` in one row; fuller cells have several rows."""
+    columns = [c for c in points.columns if c != "_cell"]
+    parts = points.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("_parts"))
+    dealt = points.join(parts, "_cell").withColumn("_part", F.pmod(F.xxhash64(*columns), F.col("_parts")))
+    return dealt.groupBy("_cell", "_part").agg(F.collect_list(F.struct(*columns)).alias("_points")).select("_cell", "_points")
+
+
 def radius_pairs(points: DataFrame, r_max: float, r_perp_max: float, box: float) -> DataFrame:
     """Links, a_id < b_id: distance at most ``r_max`` and, strictly, less than ``r_perp_max`` across the line of sight."""
     near = cell_pairs(points, None, r_max, box)
