@@ -20,9 +20,9 @@ __all__ = ["as_uri", "cut_lineage", "discard", "free_name", "fresh_path", "numbe
 ARROW_ROWS, ARROW_BYTES = "256", "16777216"
 
 
-def numbered(docs: DataFrame, label: str = "rows") -> DataFrame:
-    """``docs`` written with a number of each row, ``_row``, which is unique, never null and stays as written."""
-    return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), label)
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """``docs`` written with a number of each row, which is unique, never null and stays as written."""
+    return cut_lineage(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def row_place(id_col: str, text_col: str) -> Column:

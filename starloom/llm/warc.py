@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.llm.common import as_uri, fresh_path, open_input, open_output, short_batches
+from starloom.llm.common import as_uri, cut_lineage, fresh_path, open_input, open_output, short_batches
 
 #: Field names of the header lines, by version (fixed by the format).
 ARC_FIELDS = {
@@ -280,12 +280,12 @@ def arc_entry(page_id: int | None, url: str | None, html: str | None, version: s
 def with_first_of_payload(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """``pages`` and ``_first``, the least id among the rows of equal payload.
 
-    Digests and ids alone are grouped, with partial sums before the shuffle;
-    the join back is one that adaptive execution splits where one payload is
-    very common.
+    Digests and ids alone are grouped, with partial sums before the shuffle, and
+    written down, so that the join back is one of plain tables, which adaptive
+    execution splits where one payload is very common.
     """
     keyed = pages.withColumn("_digest", F.unhex(F.sha1(F.coalesce(F.col(payload_col), F.lit("")).cast("binary"))))
-    first = keyed.groupBy("_digest").agg(F.min(id_col).alias("_first"))
+    first = cut_lineage(keyed.groupBy("_digest").agg(F.min(id_col).alias("_first")), "first")
     return keyed.join(first, "_digest")
 
 
@@ -301,13 +301,15 @@ def convert_pages(pages: DataFrame, out_dir: str, *, version: str = "1", id_col:
         import pyarrow as pa
 
         writer = WarcWriter(root)
-        for batch in batches:
-            for page_id, url, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                legacy = io.BytesIO(arc_preamble(version) + arc_entry(page_id, url, html, version))
-                repeat = first is not None and page_id != first
-                for record in parse_arc(legacy):
-                    writer.write(to_warc(record, identifier=None if page_id is None else page_record_id(page_id), refers_to=page_record_id(first) if repeat else None))
-        writer.close()
+        try:
+            for batch in batches:
+                for page_id, url, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    legacy = io.BytesIO(arc_preamble(version) + arc_entry(page_id, url, html, version))
+                    repeat = first is not None and page_id != first
+                    for record in parse_arc(legacy):
+                        writer.write(to_warc(record, identifier=None if page_id is None else page_record_id(page_id), refers_to=page_record_id(first) if repeat else None))
+        finally:
+            writer.close()
         if writer.done:
             yield pa.RecordBatch.from_pylist(writer.done, schema=_arrow(MANIFEST))
 
@@ -329,16 +331,18 @@ def convert_archives(spark: SparkSession, paths: list[str], out_dir: str) -> Dat
         import pyarrow as pa
 
         writer = WarcWriter(root)
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                seen: dict[bytes, str] = {}
-                for record in parse_arc(open_archive(path)):
-                    payload = split_http(record.body)[1]
-                    key = hashlib.sha1(payload).digest()
-                    name = record_id(f"{path} {record.offset}")
-                    writer.write(to_warc(record, identifier=name, refers_to=seen.get(key)))
-                    seen.setdefault(key, name)
-        writer.close()
+        try:
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    seen: dict[bytes, str] = {}
+                    for record in parse_arc(open_archive(path)):
+                        payload = split_http(record.body)[1]
+                        key = hashlib.sha1(payload).digest()
+                        name = record_id(f"{path} {record.offset}")
+                        writer.write(to_warc(record, identifier=name, refers_to=seen.get(key)))
+                        seen.setdefault(key, name)
+        finally:
+            writer.close()
         if writer.done:
             yield pa.RecordBatch.from_pylist(writer.done, schema=_arrow(MANIFEST))
 

@@ -5,6 +5,8 @@ import pathlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__
 from starloom.llm import pii, quality, queries
@@ -66,6 +68,51 @@ def test_near_dedup_finds_planted_similarities(spark):
     assert kept == {i for i, _ in rows} - gone
 
 
+def test_near_dedup_of_a_crowded_group(spark):
+    """Copies of one text, most pairs just below the similarity: components as by brute force."""
+    from starloom.llm import shingles
+
+    rng = random.Random(9)
+    base = [f"w{rng.getrandbits(30)}" for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for k in rng.sample(range(120), rng.randrange(0, 5)):
+            t[k] = f"v{rng.getrandbits(30)}"
+        texts.append(" ".join(t))
+    sets = [shingles.shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if shingles.similarity(sets[a], sets[b]) >= 0.8:
+                root[find(a)] = find(b)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()}
+    assert len({find(i) for i in range(150)}) == len(set(got.values()))
+    assert all((find(a) == find(b)) == (got[a] == got[b]) for a in range(150) for b in range(a))
+
+
+def test_stages_keep_clean_rows_of_any_ids_and_names(spark, small):
+    """Null and repeated ids, null texts and clashing names pass all stages but the last without loss."""
+    rng = random.Random(1)
+    clean = [" ".join(f"word{rng.getrandbits(20)}" for _ in range(40)) for _ in range(4)]
+    rows = [(None, clean[0], 1, 2), (None, clean[1], 1, 2), (7, clean[2], 1, 2), (7, clean[3], 1, 2), (8, None, 1, 2), (9, "", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, redacted int, _row int").withColumn("n_chars", F.length("text").cast("long"))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns, name
+        got = sorted((r.text or "", r.redacted, r._row) for r in out.collect())
+        # empty and null texts are equal to near dedup
+        want = sorted((t or "", a, b) for _, t, a, b in rows)
+        assert got == want or (name == "SimHash near-dedup" and got == want[1:]), name
+
+
 def test_registration():
     numbers = sorted(int(m[1]) for k in __spark_entry__.queries() if (m := re.match(r"op(\d+)_", k)))
     assert numbers == list(range(1, 11)) and "pipeline" in queries.queries()

@@ -207,6 +207,32 @@ def test_quality_uses_few_labels(spark, small):
         assert model.weights and model.sizes == {0: 10, 1: 10}
 
 
+def test_quality_equals_plain_compression(spark):
+    """Sizes, probabilities and labels recomputed without Spark, from the model's dictionaries and weights alone."""
+    import zstandard as zstd
+
+    rng = random.Random(6)
+    good = [" ".join(rng.choice(["good", "plain", "words", "stand", "here", "and", "there"]) for _ in range(60)) for _ in range(60)]
+    bad = ["".join(rng.choice("%%@@##!!xX") for _ in range(200)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(i, int(i < 60)) for i in range(120)] + [(3, 0), (4, 1), (5, None), (70, 7)]
+    for inputs in (1, 5):
+        model = quality.fit_quality(docs, spark.createDataFrame(marks, "doc_id long, quality int"), inputs=inputs)
+        usable = [i for i in range(120) if i != 3 and zlib.crc32(str(i).encode()) % 5]
+        assert model.sizes == {0: sum(i >= 60 for i in usable), 1: sum(i < 60 for i in usable)}
+        assert len(model.weights) == inputs + 1
+        got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+        for i, t in rows:
+            raw = (t or "").encode()
+            a, b = (len(zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(d), write_content_size=False, write_checksum=False).compress(raw)) for d in (model.good, model.bad))
+            size, d = np.log1p(len(raw)), (b - a) / max(a, b, 1)
+            x = np.array([d, size, a / (len(raw) + 20), b / (len(raw) + 20), d * size])[:inputs]
+            z = model.weights[0] + np.dot(model.weights[1:], (x - model.mean) / model.scale)
+            assert abs(got[i] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+        assert sum(got[i] for i in range(60)) / 60 > 0.9 and sum(got[i] for i in range(60, 120)) / 60 < 0.2
+
+
 def test_quality_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "x" * 100_000, 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")
