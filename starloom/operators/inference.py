@@ -36,6 +36,22 @@ def covariance_budget(mocks: np.ndarray, n_mocks: int, n_params: int, emulator:
     return debias(n_mocks, len(total), n_params, method) * total
 
 
+def precision(covariance: np.ndarray) -> np.ndarray:
+    """Inverse of a covariance that is square, symmetric, positive definite and not singular; anything else raises."""
+    from starloom.operators.statistics import is_positive_definite, significant_condition
+
+    c = np.asarray(covariance, float)
+    if c.ndim != 2 or c.shape[0] != c.shape[1]:
+        raise ValueError(f"a covariance is square, this has shape {c.shape}")
+    if not np.allclose(c, c.T):
+        raise ValueError("the covariance is not symmetric")
+    if not is_positive_definite(c):
+        raise ValueError("the covariance is not positive definite")
+    if significant_condition(c) == 0:
+        raise ValueError("the covariance is singular")
+    return np.linalg.inv(c)
+
+
 def fisher(jacobian: np.ndarray, precision: np.ndarray) -> np.ndarray:
     return jacobian.T @ precision @ jacobian
 

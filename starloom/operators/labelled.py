@@ -90,6 +90,17 @@ class LabelledTable:
         wanted = spark.createDataFrame([(i, b) for i, b in enumerate(indices)], "position int, feature int")
         return self._numbered(self.features, "feature", self.frame).join(F.broadcast(wanted), "feature")
 
+    def query(self, select: dict | None = None, slices: dict | None = None, indices: list[int] | None = None, drop_empty: bool = True) -> DataFrame:
+        """Labels, slices, empty labels, dense numbers and selection by index, in this order."""
+        out = self.select(**(select or {})).slice(**(slices or {}))
+        if drop_empty:
+            out = out.drop_empty()
+        flat = out.flatten()
+        if indices is None:
+            return flat
+        wanted = flat.sparkSession.createDataFrame([(i, b) for i, b in enumerate(indices)], "position int, feature int")
+        return flat.join(F.broadcast(wanted), "feature")  # as many rows as were asked for
+
     def squeeze(self) -> LabelledTable:
         """Without dimensions that have a single label."""
         counts = self.frame.agg(*[F.count_distinct(d).alias(d) for d in self.dims]).first()

@@ -123,6 +123,19 @@ def emulator_scale(rows: DataFrame, method: str, residual: str = "residual", fea
     raise ValueError(f"unknown method {method!r}")
 
 
+def residual_covariance(rows: DataFrame, method: str) -> DataFrame:
+    """(f1, f2, cov) of residuals (sample, feature, value): whole for ``cov``, ``gk`` and ``ogk``, diagonal for the methods of :func:`emulator_scale`."""
+    if method == "cov":
+        return paired_covariance(rows)
+    if method == "gk":
+        return gk_covariance(rows)
+    if method == "ogk":
+        names, matrix = ogk_covariance(rows)
+        flat = [(a, b, float(matrix[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+        return rows.sparkSession.createDataFrame(flat, "f1 string, f2 string, cov double")
+    return emulator_scale(rows, method, "value").select(F.col("feature").alias("f1"), F.col("feature").alias("f2"), F.col("variance").alias("cov"))
+
+
 def block_diagonal(*covs: DataFrame) -> DataFrame:
     """(i, f1, f2, cov): blocks side by side; pairs of different blocks are absent, meaning 0."""
     out = None

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starloom.functions import geometry
-from starloom.operators import catalogs, mesh, morphology, observables, sky
+from starloom.operators import catalogs, inference, labelled, mesh, morphology, observables, sky, statistics
 from starloom.plans.fields import CELL, LATTICE, N, painted
 from starloom.plans.structures import FIELDS, _field
-from starloom.plans.views import GALAXIES, MEASUREMENTS, RANDOMS, query
-from starloom.sources.points import BOX, galaxies, measurements, randoms, table
+from starloom.plans.views import GALAXIES, MEASUREMENTS, MOCKS, RANDOMS, query
+from starloom.sources.points import BOX, galaxies, measurements, mocks, randoms, table
 
 CLASSES = {"1-URGENT": "QSO", "2-HIGH": "LRG", "3-MEDIUM": "ELG_HIP", "4-NOT SPECIFIED": "ELG_LOP", "5-LOW": "BGS"}
 
@@ -161,6 +161,45 @@ def radial_ratios(spark, sf_dir):
     return out.select("bin", F.round("ratio", 9).alias("ratio"))
 
 
+BORDERS = """half as (select * from (values (1, 0, 0), (0, 1, 0), (0, 0, 1)) t(a, b, c)),
+b as (select p.root as z1, q.root as z2, greatest(f.value, g.value) as v from field f, half, field g, zones p, zones q
+  where g.voxel = (((f.ix + a) % 20) * 20 + (f.iy + b) % 20) * 20 + (f.iz + c) % 20 and p.node = f.voxel and q.node = g.voxel and p.root <> q.root)"""
+
+
+@query(f"with recursive {FIELDS}, {BORDERS} select cast(z as bigint) as root, min(v) as leak from (select z1 as z, v from b union all select z2, v from b) group by z")
+def leak_density(spark, sf_dir):
+    """The lowest pass out of every zone."""
+    field = _field(spark, sf_dir)
+    return morphology.leak_density(morphology.zone_links(field, morphology.watershed(field, N), N))
+
+
+@query(f"with {MEASUREMENTS}, k as (select * from measurements where cosmo_idx in (1, 2, 5) and s between 5 and 30), f as (select *, dense_rank() over (order by ell, s) - 1 as bin, dense_rank() over (order by cosmo_idx, hod_idx) - 1 as nr from k) select cast(nr as integer) as sample, cast(i as integer) as position, value from f join (values (0, 9), (1, 0), (2, 33)) t(i, b) on b = bin")
+def ordered_selection(spark, sf_dir):
+    """Labels, slices, empty labels, dense numbers and indices, one after the other (P5)."""
+    t = labelled.LabelledTable(measurements(spark, sf_dir), ("cosmo_idx", "hod_idx"), ("ell", "s"), nan_dims=("s",))
+    return t.query({"cosmo_idx": [1, 2, 5]}, {"s": (5, 30)}, [9, 0, 33]).select("sample", "position", "value")
+
+
+RES = "res as (select feature, sample, value - avg(value) over (partition by feature) as value from mocks)"
+
+
+@query(f"with {MOCKS}, {RES}, c as (select a.feature as f1, b.feature as f2, covar_samp(a.value, b.value) as cov from res a join res b using (sample) group by all) select 'cov' as method, f1, f2, round(cov, 7) as cov from c union all select 'stdev', feature, feature, round(var_pop(value), 7) from res group by feature")
+def residual_covariance(spark, sf_dir):
+    """Whole and diagonal covariances of emulator residuals."""
+    from pyspark.sql import Window
+
+    rows = mocks(spark, sf_dir).select("sample", "feature", (F.col("value") - F.avg("value").over(Window.partitionBy("feature"))).alias("value"))
+    parts = [statistics.residual_covariance(rows, m).select(F.lit(m).alias("method"), "f1", "f2", F.round("cov", 7).alias("cov")) for m in ("cov", "stdev")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("with s as (select * from range(4) t(i)) select 'a' as parameter, cast(i as integer) as step, 0.1 + 0.8 * i / 3 as a, 2.0::double as b from s union all select 'b', cast(i as integer), 0.5, 1.0 + 2.0 * i / 3 from s".replace("0.1 + 0.8 * i / 3", "round(0.1 + 0.8::double * i / 3, 9)").replace("0.5,", "0.5::double,").replace("1.0 + 2.0 * i / 3", "round(1.0 + 2.0::double * i / 3, 9)"))
+def sensitivity_grid(spark, sf_dir):
+    """One parameter at a time over its range."""
+    out = inference.sensitivity_grid(spark, {"a": 0.5, "b": 2.0}, {"a": (0.1, 0.9), "b": (1.0, 3.0)}, 4)
+    return out.select("parameter", "step", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"))
+
+
 @query()
 def nested_voids(spark, sf_dir):
     """Voids absorbed by larger ones (J17); held against a plain loop in the tests."""

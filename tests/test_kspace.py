@@ -147,3 +147,13 @@ def test_small_catalog_helpers(spark):
         observables.compatible(df, df.where("id = 1"), keys=("id",))
     randoms = spark.createDataFrame([(45.0, 10.0, 100.0), (200.0, 0.0, 10.0), (45.0, 45.0, 1500.0)], "ra double, dec double, distance double")
     assert sky.lightcone_randoms(randoms, 500.0).count() == 2
+
+
+def test_precision_checks():
+    from starloom.operators import inference
+
+    good = np.array([[2.0, 0.5], [0.5, 1.0]])
+    assert np.allclose(inference.precision(good) @ good, np.eye(2))
+    for bad in (np.ones((2, 3)), np.array([[1.0, 2.0], [0.0, 1.0]]), np.array([[1.0, 2.0], [2.0, 1.0]]), np.diag([1.0, 1e-17])):
+        with pytest.raises(ValueError):
+            inference.precision(bad)
