@@ -111,7 +111,8 @@ def test_flat_arrays_round_trip():
 def test_parallel_vectors_tie_to_the_smaller_id(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=8)
-    rows = rows_of(spark, [(i, (base * (200 - i)).tolist()) for i in range(200)] + [(500, (-base).tolist()), (501, (base * 1e-200).tolist()), (502, (base * 1e150).tolist())])
+    vectors = [(i, (base * (200 - i)).tolist()) for i in range(200)] + [(500, (-base).tolist()), (501, (base * 1e-200).tolist()), (502, (base * 1e150).tolist())]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     for query in (0, 7, 502):
         got = [(r.vec_id, r.score) for r in hnsw.nearest_neighbours(rows, rows.where(f"vec_id = {query}"), 5).orderBy("rank").collect()]
         assert [i for i, _ in got] == [i for i in range(7) if i != query][:5]
