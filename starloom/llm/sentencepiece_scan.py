@@ -49,7 +49,7 @@ NEG = float("-inf")
 CHUNK = 32_768
 #: How far before a chunk's end a better place to cut is looked for.
 SLACK = 4_096
-MEMO_WORDS, MEMO_PAIRS = 600_000, 2_000_000
+MEMO_WORDS, MEMO_PAIRS = 400_000, 1_000_000
 #: A boundary's only state where no piece straddles it.
 FREE = ((0, 0),)
 
