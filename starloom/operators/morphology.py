@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.geometry import effective_radius
-from starloom.operators.graph import components, roots
+from starloom.operators.graph import roots
 from starloom.operators.spatial import cell_pairs
-from starloom.sources.shared import cut_lineage
+from starloom.sources.shared import cut_lineage, discard
 
 #: Neighbours in the order in which the first of equal values wins (fixed by the method).
 STEPS = ((0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
@@ -122,36 +123,35 @@ def nested(voids: DataFrame, box: float) -> DataFrame:
 
     Voids (id, x, y, z, radius) are taken from the largest on, ties by id. A
     central takes every smaller void within its radius: those without a central,
-    and those held by another central at a shorter distance. Absorption depends
-    on what came before, so it runs group by group: groups are voids linked by
-    such distances, and one group goes to one task. Not periodic.
+    and those held by another central at a shorter distance. So a void is a
+    central if no larger central holds it, and any other ends with the farthest
+    of the centrals that hold it, ties to the larger one. Centrals are found in
+    rounds: voids in reach of no larger open one are centrals, what they hold is
+    closed. Of voids at one position only the largest can be one. Not periodic.
     """
-    import pandas as pd
-
-    reach = voids.agg(F.max("radius")).first()[0] or 1.0
-    near = cell_pairs(voids, None, float(reach), float(box), periodic=False, keep=("radius",))
-    near = near.where(F.col("d2") < F.pow(F.greatest("a_radius", "b_radius"), F.lit(2)))
-    big = (F.col("a_radius") > F.col("b_radius")) | ((F.col("a_radius") == F.col("b_radius")) & (F.col("a_id") < F.col("b_id")))
-    ends = [F.when(big, F.col("a_id")).otherwise(F.col("b_id")).alias("large"), F.when(big, F.col("b_id")).otherwise(F.col("a_id")).alias("small"), F.greatest("a_radius", "b_radius").alias("radius")]
-    links = cut_lineage(near.select(*ends, "d2"), "nested")
-    groups = components(links, "large", "small")
-
-    def absorb(frame: pd.DataFrame) -> pd.DataFrame:
-        holder, distance, count = {}, {}, {}
-        frame = frame.sort_values(["radius", "large", "small"], ascending=[False, True, True])
-        for large, part in frame.groupby("large", sort=False):
-            if large in holder:
-                continue
-            for small, d2 in zip(part["small"], part["d2"], strict=True):
-                if small in holder and distance[small] >= d2:
-                    continue
-                if small in holder:
-                    count[holder[small]] -= 1
-                holder[small], distance[small] = large, d2
-                count[large] = count.get(large, 0) + 1
-        rows = [(i, holder.get(i, i), count.get(i, 0) if i not in holder else 0) for i in sorted({*frame["large"], *frame["small"]})]
-        return pd.DataFrame(rows, columns=["id", "central", "satellites"])
-
-    done = links.join(groups, F.col("large") == F.col("node")).groupBy("component").applyInPandas(absorb, "id long, central long, satellites long")
-    alone = voids.select("id").join(done.select("id"), "id", "left_anti")
-    return done.unionByName(alone.select("id", F.col("id").alias("central"), F.lit(0).cast("long").alias("satellites")))
+    reach = float(voids.agg(F.max("radius")).first()[0] or 1.0)
+
+    def larger(a: str, b: str):
+        return (F.col(f"{a}_radius") > F.col(f"{b}_radius")) | ((F.col(f"{a}_radius") == F.col(f"{b}_radius")) & (F.col(f"{a}_id") < F.col(f"{b}_id")))
+
+    def held(centrals: DataFrame, others: DataFrame) -> DataFrame:
+        pairs = cell_pairs(centrals, others, reach, float(box), periodic=False, keep=("radius",))
+        return pairs.where(larger("a", "b") & (F.col("d2") < F.col("a_radius") * F.col("a_radius")))
+
+    top = F.max(F.struct("radius", (-F.col("id")).alias("rank"))).alias("top")
+    live = cut_lineage(voids.groupBy("x", "y", "z").agg(top).select((-F.col("top.rank")).alias("id"), "x", "y", "z", "top.radius"), "open")
+    rounds = []
+    while not live.isEmpty():
+        near = cell_pairs(live, None, reach, float(box), periodic=False, keep=("radius",))
+        near = near.where(F.col("d2") < F.pow(F.greatest("a_radius", "b_radius"), F.lit(2)))
+        beaten = near.select(F.when(larger("a", "b"), F.col("b_id")).otherwise(F.col("a_id")).alias("id")).distinct()
+        rounds.append(cut_lineage(live.join(beaten.hint("merge"), "id", "left_anti"), "centrals"))
+        gone = held(rounds[-1], live).select(F.col("b_id").alias("id")).unionByName(rounds[-1].select("id")).distinct()
+        before, live = live, cut_lineage(live.join(gone.hint("merge"), "id", "left_anti"), "open")
+        discard(before)
+    centrals = functools.reduce(DataFrame.unionByName, rounds, live)
+    last = F.max(F.struct("d2", F.col("a_radius").alias("radius"), (-F.col("a_id")).alias("rank"))).alias("last")
+    holders = cut_lineage(held(centrals, voids).groupBy(F.col("b_id").alias("id")).agg(last).select("id", (-F.col("last.rank")).alias("central")), "holders")
+    count = holders.groupBy(F.col("central").alias("id")).agg(F.count(F.lit(1)).alias("satellites"))
+    out = voids.select("id").join(holders.hint("merge"), "id", "left").join(count.hint("merge"), "id", "left")
+    return out.select("id", F.coalesce("central", "id").alias("central"), F.coalesce("satellites", F.lit(0)).cast("long").alias("satellites"))

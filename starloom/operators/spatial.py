@@ -1,10 +1,10 @@
 """Neighbour joins by cell lists.
 
 Both sides are keyed by the mesh cell they lie in; one side is repeated for the
-neighbouring cells, so the join is an equality on one number that Spark can
-shuffle, broadcast or split by itself, with the distance as a residual. The
-cell is at least the search radius. In self-joins only half of the neighbours
-are visited.
+neighbouring cells, so the join is a sort-merge equality on one number, with the
+distance as a residual. The cell is at least the search radius. In self-joins
+only half of the neighbours are visited. Counts need each position only once,
+with the number of its points (:func:`positions`).
 """
 
 from __future__ import annotations
@@ -42,53 +42,77 @@ def _cell(index: list[Column], n: int) -> Column:
     return (ix * n + iy) * n + iz
 
 
-def cell_pairs(left: DataFrame, right: DataFrame | None, radius: float, box: float, *, periodic: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def cell_pairs(left: DataFrame, right: DataFrame | None, radius: float, box: float, *, periodic: bool = True, keep: tuple[str, ...] = (), by: tuple[str, ...] = (), moved: str = "left") -> DataFrame:
     """Pairs within ``radius``: a_*, b_* columns, dx, dy, dz (b minus a) and d2.
 
-    ``right=None`` joins ``left`` with itself: every unordered pair of different
-    ids once. Coincident points are pairs at distance 0. Columns ``keep`` are
-    carried along besides id (if present).
+    ``right=None`` joins ``left`` with itself: every unordered pair once, of
+    different ids or, where there is no id, of points that differ in position.
+    Coincident points are pairs at distance 0. Columns ``keep`` are carried
+    along besides id (if present); pairs agree in the columns ``by``, which keep
+    their names. The side ``moved``, best the smaller one, is sent to all
+    neighbouring cells; it is never broadcast, as the planner takes the copies
+    for no larger than the table.
     """
     auto = right is None
     n = cells_per_side(box, radius)
     size = box / n
 
-    def indexed(df, side):
-        carried = [c for c in ("id", *keep) if c in df.columns]
-        named = [F.col(c).alias(f"{side}_{c}") for c in carried] + [F.col(c).alias(f"{side}_{c}") for c in AXES]
-        return df.select(*named, *[F.least(F.floor(F.col(c) / size), F.lit(n - 1)).cast("long").alias(f"_{c}") for c in AXES])
+    def indexed(df):
+        carried = [F.col(c) for c in ("id", *keep) if c in df.columns]
+        index = [F.least(F.floor(F.col(c) / size), F.lit(n - 1)).cast("long") for c in AXES]
+        return df.select(_cell(index, n).alias("_cell"), *by, *carried, *AXES)
 
-    a, b = indexed(left, "a"), indexed(left if auto else right, "b")
+    # a cell's points meet as arrays, so the join sees cells and the pairs run inside one loop of generated code
+    sides = {"a": packed(indexed(left), by), "b": packed(indexed(left if auto else right), by)}
+    go, stay = ("a", "b") if auto or moved == "left" else ("b", "a")
     half = auto and n >= 3
     moves = F.array(*[F.struct(*[F.lit(o).cast("long").alias(c) for o, c in zip(move, AXES, strict=True)]) for move in _offsets(n, auto)])
-    a = a.withColumn("_m", F.explode(moves))
-    to = [F.col(f"_{c}") + F.col(f"_m.{c}") for c in AXES]
-    a = a.withColumn("_cell", _cell([F.pmod(t, F.lit(n)) for t in to], n))
-    if not periodic:
+    sent = sides[go].withColumn("_m", F.explode(moves))
+    at = [F.floor(F.col("_cell") / (n * n)), F.floor(F.col("_cell") / n) % n, F.col("_cell") % n]
+    to = [i + F.col(f"_m.{c}") for i, c in zip(at, AXES, strict=True)]
+    if not periodic and n >= 3:
         inside = [t.between(0, n - 1) for t in to]
-        a = a.where(inside[0] & inside[1] & inside[2]) if n >= 3 else a
+        sent = sent.where(inside[0] & inside[1] & inside[2])
     here = (F.col("_m.x") == 0) & (F.col("_m.y") == 0) & (F.col("_m.z") == 0)
-    a = a.withColumn("_same", here).drop("_m", *[f"_{c}" for c in AXES])
-    b = b.withColumn("_cell", _cell([F.col(f"_{c}") for c in AXES], n)).drop(*[f"_{c}" for c in AXES])
-    side = box if periodic else None
-    d = [min_image(F.col(f"b_{c}") - F.col(f"a_{c}"), side) for c in AXES]
+    # with three cells or more, the move tells which image is the nearest one: nothing is left to choose per pair
+    known = periodic and n >= 3
+    shifts = [(F.lit(-box) * F.floor(t / n)).alias(f"_s{c}") for t, c in zip(to, AXES, strict=True)] if known else []
+    sent = sent.select(_cell([F.pmod(t, F.lit(n)) for t in to], n).cast("long").alias("_cell"), *by, here.alias("_same"), *shifts, F.col("_points").alias(f"_{go}"))
+    near = sent.join(sides[stay].withColumnRenamed("_points", f"_{stay}").hint("merge"), ["_cell", *by])
+
+    def opened(df, side):
+        fields = df.schema[f"_{side}"].dataType.elementType.names
+        return df.select(*[c for c in df.columns if c != f"_{side}"], F.inline(f"_{side}").alias(*[f"{side}_{c}" for c in fields]))
+
+    pairs = opened(opened(near, go), stay)
+    d = [F.col(f"b_{c}") - F.col(f"a_{c}") for c in AXES]
+    if known:
+        d = [v - F.col(f"_s{c}") if go == "a" else v + F.col(f"_s{c}") for v, c in zip(d, AXES, strict=True)]
+    elif periodic:
+        d = [min_image(v, box) for v in d]
     d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
     rule = d2 <= F.lit(radius) * F.lit(radius)
     if auto:
-        order = F.col("a_id") < F.col("b_id")
+        x, y, z = [(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in AXES]
+        order = F.col("a_id") < F.col("b_id") if "id" in left.columns else (x[0] < x[1]) | ((x[0] == x[1]) & ((y[0] < y[1]) | ((y[0] == y[1]) & (z[0] < z[1]))))
         rule = rule & (F.when(F.col("_same"), order).otherwise(F.lit(True)) if half else order)
-    # a cell's points meet as one array, so the join sees cells and the pairs run inside one loop of generated code
-    near = a.join(packed(b), "_cell")
-    pairs = near.select(*a.columns, F.inline("_points")).where(rule)
-    return pairs.select(*[c for c in pairs.columns if c[0] != "_"], *[x.alias(f"d{c}") for x, c in zip(d, AXES, strict=True)], d2.alias("d2"))
+    pairs = pairs.where(rule)
+    return pairs.select(*[c for c in pairs.columns if c[0] != "_"], *[v.alias(f"d{c}") for v, c in zip(d, AXES, strict=True)], d2.alias("d2"))
 
 
-def packed(points: DataFrame) -> DataFrame:
-    """(_cell, _points): the points of each cell, at most about ``PACK`` in one row; fuller cells have several rows."""
-    columns = [c for c in points.columns if c != "_cell"]
-    parts = points.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("_parts"))
-    dealt = points.join(parts, "_cell").withColumn("_part", F.pmod(F.xxhash64(*columns), F.col("_parts")))
-    return dealt.groupBy("_cell", "_part").agg(F.collect_list(F.struct(*columns)).alias("_points")).select("_cell", "_points")
+def packed(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(_cell, by, _points): the points of each cell, at most about ``PACK`` in one row; fuller cells have several rows."""
+    keys = ["_cell", *by]
+    columns = [c for c in points.columns if c not in keys]
+    parts = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PACK).alias("_parts"))
+    dealt = points.join(parts.hint("shuffle_hash"), keys).withColumn("_part", F.pmod(F.xxhash64(*columns), F.col("_parts")))
+    return dealt.groupBy(*keys, "_part").agg(F.collect_list(F.struct(*columns)).alias("_points")).select(*keys, "_points")
+
+
+def positions(points: DataFrame, *, weights: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, y, z, m, n, n2): rows at each position, and sums of their weights (or ones) and of the squares."""
+    w = F.col("w") if weights else F.lit(1).cast("long")
+    return points.groupBy(*by, *AXES).agg(F.count(F.lit(1)).alias("m"), F.sum(w).alias("n"), F.sum(w * w).alias("n2"))
 
 
 def radius_pairs(points: DataFrame, r_max: float, r_perp_max: float, box: float) -> DataFrame:
@@ -101,6 +125,18 @@ def radius_pairs(points: DataFrame, r_max: float, r_perp_max: float, box: float)
     return links.select(*ends, *[F.when(turned, -F.col(c)).otherwise(F.col(c)).alias(c) for c in ("dx", "dy", "dz")], "d2")
 
 
+def group_edges(points: DataFrame, r_max: float, r_perp_max: float, box: float) -> DataFrame:
+    """(a_id, b_id): enough of the links of :func:`radius_pairs` that components and points without links are theirs.
+
+    Of points at one position the first, by id, is linked to the others, and
+    the only one that is linked to other positions.
+    """
+    there = points.where((F.col("x") - F.col("x") == 0) & (F.col("y") - F.col("y") == 0) & (F.col("z") - F.col("z") == 0))
+    first = cut_lineage(there.groupBy(*AXES).agg(F.min("id").alias("id")), "positions")
+    copies = there.join(first.withColumnRenamed("id", "a_id").hint("merge"), list(AXES)).where("id <> a_id").select("a_id", F.col("id").alias("b_id"))
+    return radius_pairs(first, r_max, r_perp_max, box).select("a_id", "b_id").unionByName(copies)
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, box: float, *, radius: float | None = None, exclude_self: bool = False) -> DataFrame:
     """The ``k`` nearest points of every query: (q_id, rank, id, dx, dy, dz, d2), ties to the smaller id.
 

@@ -148,7 +148,7 @@ select quantile, i_s, round(sum(xi) / 5, 6) as xi_0, round(5 * sum(xi * (3 * ((i
 def density_split_cross(spark, sf_dir):
     """Multipoles of each density quantile with the catalog: the flagship."""
     split, points = _split(spark, sf_dir), galaxies(spark, sf_dir)
-    counts = correlation.complete(correlation.count_smu(split, points, 5, 10, 5, BOX, group=("quantile",)), quantile=5, i_s=10, i_mu=5)
+    counts = correlation.complete(correlation.count_smu(split, points, 5, 10, 5, BOX, group=("quantile",), moved="right"), quantile=5, i_s=10, i_mu=5)
     sizes = split.groupBy("quantile").agg(F.count(F.lit(1)).alias("nq"))
     total = points.agg(F.count(F.lit(1)).alias("ng"))
     both = counts.join(F.broadcast(sizes), "quantile").crossJoin(F.broadcast(total))
@@ -164,11 +164,8 @@ select quantile, {DS} as i_s, count(*) as n from (select a.quantile, {difference
 )
 def density_split_auto(spark, sf_dir):
     """Auto counts within each density quantile."""
-    from starloom.operators.spatial import cell_pairs
-
-    pairs = cell_pairs(_split(spark, sf_dir), None, 100, BOX, keep=("quantile",)).where("a_quantile = b_quantile")
-    i_s = F.floor(F.sqrt("d2") / 5).cast("int")
-    return pairs.select(F.col("a_quantile").alias("quantile"), i_s.alias("i_s")).where("i_s < 20").groupBy("quantile", "i_s").agg(F.count(F.lit(1)).alias("n"))
+    counts = correlation.count_smu(_split(spark, sf_dir), None, 5, 20, 1, BOX, group=("quantile",))
+    return counts.select("quantile", "i_s", "n")
 
 
 @query(f"with {GALAXIES}, {painted('rho', 'galaxies')}, {LATTICE}, {DELTA}, {QUERY}, {ROUNDED} select cast(floor((delta + 1) * 10) as bigint) as bin, count(*) as n from readout group by 1")

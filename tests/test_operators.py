@@ -425,3 +425,54 @@ def test_knn_in_sparse_and_tiny_tables(spark):
             d = (p - p[i] + 50) % 100 - 50
             near = sorted((float((x * x).sum()), j) for j, x in enumerate(d) if j != i)[:k]
             assert [got[i][r + 1] for r in range(len(near))] == [j for _, j in near]
+
+
+@pytest.mark.parametrize("name", ["pair_counts_smu", "pair_counts_cross", "pair_counts_rppi", "projected_tpcf", "tpcf", "tpcf_rebinned", "tpcf_multipoles", "landy_szalay", "radius_pairs", "neighbour_profile"])
+def test_copies_for_neighbour_cells_are_not_broadcast(spark, small, name):
+    from starloom import catalogue
+
+    plan = catalogue.queries()[name](spark, small)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan
+    # the joins that build on the right may only broadcast totals and group sizes
+    blocks = plan.split("BroadcastHashJoin")[1:]
+    assert not any("Generate explode" in b for b in blocks if b.index("Generate explode") < b.find("SortMergeJoin") != -1)
+
+
+@pytest.mark.parametrize("periodic", [True, False])
+def test_counts_of_coincident_points(spark, periodic):
+    rng = np.random.default_rng(8)
+    xyz = rng.integers(0, 100, (40, 3))[rng.integers(0, 40, 150)]
+    w, g = rng.integers(0, 4, 150), rng.integers(0, 2, 150)
+    rows = spark.createDataFrame([(i, *map(int, p), int(a), int(b)) for i, (p, a, b) in enumerate(zip(xyz, w, g))], "id long, x long, y long, z long, w long, g int")
+    from starloom.operators import correlation
+
+    d = np.abs(xyz[:, None] - xyz[None])
+    d2 = (np.where(periodic & (d > 50), 100 - d, d) ** 2).sum(2)
+
+    def want(pairs):
+        out = {}
+        for i, j in pairs:
+            k = int(d2[i, j] ** 0.5 // 10)
+            if k < 3:
+                out[(int(g[i]), k)] = out.get((int(g[i]), k), 0) + int(w[i] * w[j])
+        return out
+
+    def got(df):
+        return {(r.g, r.i_s): r.n for r in df.collect()}
+
+    auto = correlation.count_smu(rows, None, 10, 3, 1, 100, weights=True, periodic=periodic, group=("g",))
+    assert got(auto) == want((i, j) for i, j in itertools.combinations(range(150), 2) if g[i] == g[j])
+    for moved in ("left", "right"):
+        cross = correlation.count_smu(rows, rows, 10, 3, 1, 100, weights=True, periodic=periodic, group=("g",), moved=moved)
+        assert got(cross) == want(itertools.product(range(150), repeat=2))
+
+
+def test_group_edges(spark):
+    rng = np.random.default_rng(9)
+    xyz = rng.integers(0, 60, (50, 3))[rng.integers(0, 50, 120)]
+    rows = frame(spark, xyz)
+    every = spatial.radius_pairs(rows, 9, 6, 100.0).select("a_id", "b_id")
+    few = spatial.group_edges(rows, 9, 6, 100.0)
+    assert few.count() < every.count()
+    assert {tuple(r) for r in graph.components(few, "a_id", "b_id").collect()} == {tuple(r) for r in graph.components(every, "a_id", "b_id").collect()}
+    assert {r.id for r in graph.singlets(rows, few).collect()} == {r.id for r in graph.singlets(rows, every).collect()}
