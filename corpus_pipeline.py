@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import common, linededup, packing, pii, quality, shingles
+from starloom.llm import common, linededup, packing, pii, quality, shingles, simhash
+from starloom.operators.graph import components
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +34,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by five-word shingle similarity of at least 0.8 one row stays.
+    """Of each group of near copies one row stays.
 
-    It is the row of the least id, nulls last, then of the least hash of the text.
+    Texts link by SimHash fingerprints at 3 or fewer differing bits, as in
+    :mod:`starloom.llm.simhash`, and by five-word shingle similarity of at least
+    0.8, at which fingerprints mostly differ in more bits. The row that stays is that of the least id, nulls last, then of the least hash of the text.
     """
     row = common.free_name("_row", docs.columns)
     held = common.numbered(docs, row)
     rows = held.select(F.col(row).alias("_row"), "doc_id", "text")
-    groups = shingles.near_copies(rows, id_col="_row")
+    close = common.cut_lineage(simhash.near_duplicates(rows, id_col="_row").select("_row", "component_id"), "simhash")
+    similar = common.cut_lineage(shingles.near_copies(rows, id_col="_row").select("_row", "component_id"), "similar")
+    # both name a group by one of its rows
+    joint = components(close.unionByName(similar), "_row", "component_id").select(F.col("node").alias("_row"), F.col("component").alias("_joint"))
+    groups = rows.select("_row").join(joint, "_row", "left").select("_row", F.coalesce("_joint", "_row").alias("component_id"))
     placed = rows.select("_row", common.row_place("doc_id", "text").alias("_at"))
     keep = groups.join(placed, "_row").groupBy("component_id").agg(F.min("_at").alias("_at")).select(F.col("_at.row").alias(row))
     return held.join(keep, row, "left_semi").select(*docs.columns)

@@ -125,3 +125,14 @@ def test_native_operator_has_no_python(spark):
     tree = ast.parse(pathlib.Path(linededup.__file__).read_text())
     names = {n.attr for n in ast.walk(tree) if isinstance(n, ast.Attribute)}
     assert not names & {"mapInArrow", "mapInPandas", "applyInPandas", "pandas_udf", "udf", "rdd"}
+
+
+def test_near_dedup_links_by_simhash(spark):
+    """Equal fingerprints, of shingles that repeat, but sets of shingles with little in common."""
+    from starloom.llm import shingles, simhash
+
+    texts = ["x y z " * 1000 + " ".join(f"{c}{i}" for i in range(20)) for c in "uv"]
+    assert len({simhash.fingerprint(t) for t in texts}) == 1
+    assert shingles.similarity(*[shingles.shingle_set(t) for t in texts]) < 0.8
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate([*texts, "other words stand here"])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
