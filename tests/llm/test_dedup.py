@@ -108,6 +108,38 @@ def test_large_groups_of_near_lines(spark):
     check_verdicts(linededup.line_verdicts(docs).collect(), rows, linededup.THRESHOLD, linededup.PER_EDIT)
 
 
+def near_lines(lines, threshold, per_edit):
+    """For each distinct line the number of others within the threshold of it."""
+    near = dict.fromkeys(lines, 0)
+    for a, b in itertools.combinations(near, 2):
+        least = min(threshold, min(len(a), len(b)) // per_edit)
+        if abs(len(a) - len(b)) <= least and distance(a, b) <= least:
+            near[a] += 1
+            near[b] += 1
+    return near
+
+
+@pytest.mark.parametrize(("threshold", "per_edit", "grid"), [(1, 4, None), (2, 5, None), (3, 4, (2, 3)), (2, 10, None), (2, 10, (4, 8))])
+def test_every_line_link_is_counted(spark, monkeypatch, threshold, per_edit, grid):
+    """A family of near copies, some within the threshold of each other, and a chain whose ends are far apart."""
+    rng = random.Random(threshold)
+    if grid:
+        monkeypatch.setattr(linededup, "FILED", grid[0])
+        monkeypatch.setattr(linededup, "ASKED", grid[1])
+    base, chain = "".join(rng.choice("abcdefgh ") for _ in range(40)), "x" * 30
+    lines = [edit(rng, base, rng.randrange(1, 4)) for _ in range(50)]
+    for _ in range(12):
+        chain = edit(rng, chain, 1)
+        lines.append(chain)
+    lines += [edit(rng, "hello wörld"[: rng.randrange(3, 12)], 1) for _ in range(20)]
+    rows = list(enumerate(dict.fromkeys(x for x in lines if x)))
+    want = near_lines([x for _, x in rows], threshold, per_edit)
+    got = linededup.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold, per_edit=per_edit).collect()
+    assert {rows[r.doc_id][1]: r.near for r in got} == want
+    # links and the class size less one are different things here
+    assert any(r.near != r.links for r in got)
+
+
 def test_edits_within(spark):
     rng = random.Random(4)
     pairs = []
