@@ -129,5 +129,7 @@ def percolation(tree: DataFrame, points: DataFrame, steps: int, bins: int, box:
         b = points.select(F.col("id").alias("last"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
         d = [min_image(F.col(f"b{c}") - F.col(f"a{c}"), box) for c in "xyz"]
         ends = paths.join(a, "first").join(b, "last").withColumn("end", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
+        # both orders below read these paths
+        ends = cut_lineage(ends.select("first", "last", "length", "end"), "paths")
         out = out.unionByName(binned(ends, ["length", "first", "last"], "length", f"mst{n}pt")).unionByName(binned(ends, ["length", "first", "last"], "end", f"end{n}pt"))
     return out

@@ -476,3 +476,14 @@ def test_group_edges(spark):
     assert few.count() < every.count()
     assert {tuple(r) for r in graph.components(few, "a_id", "b_id").collect()} == {tuple(r) for r in graph.components(every, "a_id", "b_id").collect()}
     assert {r.id for r in graph.singlets(rows, few).collect()} == {r.id for r in graph.singlets(rows, every).collect()}
+
+
+def test_percolation_writes_its_paths_once(spark, monkeypatch):
+    labels, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, label: labels.append(label) or cut(df, label))
+    tree = spark.createDataFrame([(i, i + 1, 1.0 + i) for i in range(5)], "src long, dst long, w double")
+    points = spark.createDataFrame([(i, i * (i + 1) // 2, 0, 0) for i in range(6)], "id long, x long, y long, z long")
+    rows = graph.percolation(tree, points, 3, 1, 100).collect()
+    # each path's length and its ends' distance are put in order from one table
+    assert labels.count("paths") == 2
+    assert {r.stat: r.mean for r in rows} == {"mst1pt": 3.0, "mst2pt": 6.0, "end2pt": 6.0, "mst3pt": 9.0, "end3pt": 9.0}
