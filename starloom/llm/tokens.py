@@ -21,11 +21,11 @@ import numpy as np
 #: A space before a visible character always starts a new pre-token.
 CUT = re.compile(r" (?=\S)")
 #: A doubled or padded space: only texts with these need the look-ahead above.
-PADDED = re.compile(r"\s \s|  | \s|\s \Z| \Z")
+PADDED = re.compile(r" (?!\S)")
 #: Letters, maybe punctuation, maybe a line break and the same again: pre-tokens end where these groups end.
 LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 SHAPE = re.compile(rf"({LETTERS})([.,;:!?#$%&*|]+)?(?:(\n)({LETTERS})([.,;:!?#$%&*|]+)?)?")
-#: Letter runs are dear to encode and kept longest; words put together from parts are cheap to redo.
+#: Letter runs are dear to encode and kept longest; words put together from parts, in the same memo, are cheap to redo.
 MEMO_RUNS, MEMO_WORDS = 1_100_000, 600_000
 LONGEST = 64
 
@@ -53,37 +53,46 @@ class _Runs(dict):
     def __missing__(self, run: str) -> bytes:
         if len(self) >= MEMO_RUNS:
             self.clear()
+        ids = self[run] = self.alone(run)
+        return ids
+
+    def alone(self, run: str) -> bytes:
         lead = self.letters[ord(self.lead)] if self.lead else ""
         stand_in = run if run.isascii() and run != "\n" else run.encode().decode("latin-1").translate(self.letters)
-        ids = self[run] = array("I", self.encode(lead + stand_in, add_special_tokens=False).ids).tobytes()
-        return ids
+        return array("I", self.encode(lead + stand_in, add_special_tokens=False).ids).tobytes()
 
 
 class _Words(dict):
-    """Word without its leading space to the bytes of its ids."""
+    """Word without its leading space, letter runs too, to the bytes of its ids."""
 
-    def __init__(self, whole, runs: _Runs, bare: _Runs, lead: str):
+    def __init__(self, whole, run, bare: _Runs, lead: str):
         super().__init__()
-        self.whole, self.runs, self.bare, self.lead = whole, runs, bare, lead
+        self.whole, self.run, self.bare, self.lead = whole, run, bare, lead
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) <= LONGEST and word.isascii() and word.isalpha():
-            return self.runs[word]
+        if len(word) > LONGEST:
+            return array("I", self.whole(self.lead + word, add_special_tokens=False).ids).tobytes()
         body, last = word[:-1], word[-1:]
-        short = len(word) <= LONGEST
-        if short and last in ".,;:!?" and body.isascii() and body.isalpha():
-            ids = self.runs[body] + self.bare[last]
-        elif short and (shape := SHAPE.fullmatch(word)):
+        if word.isascii() and word.isalpha():
+            ids = self.run(word)
+        elif last in ".,;:!?" and body.isascii() and body.isalpha():
+            ids = self[body] + self.bare[last]
+        elif shape := SHAPE.fullmatch(word):
             first, *more = shape.groups()
-            ids = self.runs[first] + b"".join([self.bare[x] for x in more if x])
+            ids = (self.run(word) if first == word else self[first]) + b"".join([self.bare[x] for x in more if x])
         else:
             ids = array("I", self.whole(self.lead + word, add_special_tokens=False).ids).tobytes()
-        if short:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = ids
+        if len(self) >= MEMO_RUNS + MEMO_WORDS:
+            self.make_room()
+        self[word] = ids
         return ids
 
+    def make_room(self) -> None:
+        runs = {k: v for k, v in self.items() if k.isalpha()}
+        self.clear()
+        if len(runs) < MEMO_RUNS:
+            self.update(runs)
+
 
 class Encoder:
     """Little-endian 32-bit ids of a text, as bytes or as an array."""
@@ -98,8 +107,8 @@ class Encoder:
         # the same model for single pre-tokens, spelled in byte letters
         inner = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []})).encode
         bare, spaced = _Runs(inner, ""), _Runs(inner, " ")
-        self.first = _Words(self.tokenizer.encode, bare, bare, "")
-        self.rest = _Words(self.tokenizer.encode, spaced, bare, " ")
+        self.first = _Words(self.tokenizer.encode, bare.alone, bare, "")
+        self.rest = _Words(self.tokenizer.encode, spaced.alone, bare, " ")
 
     def encode_bytes(self, text: str | None) -> bytes:
         if not text:
@@ -107,12 +116,8 @@ class Encoder:
         if any(token in text for token in self.added):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         words = CUT.split(text) if PADDED.search(text) else text.split(" ")
-        head = self.first[words[0]]
-        if len(words) == 1:
-            return head
-        # letter runs are met first in their own memo, everything else goes through the words
-        runs, rest = self.rest.runs.get, self.rest
-        return head + b"".join([runs(w) or rest[w] for w in words[1:]])
+        head = self.first[words.pop(0)]
+        return head + b"".join(map(self.rest.__getitem__, words))
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4")

@@ -310,3 +310,18 @@ def test_giant_documents_in_spark(spark, merges):
     assert all(r.ids_crc32 == sentencepiece_scan.check_of(merges.encode(text)) for r in got if r.doc_id == 1)
     assert all(r.n_ids == 0 for r in got if r.doc_id in (2, 3))
     assert sentencepiece_scan.digest_pieces(docs.limit(0)).count() == 0
+
+
+def test_encoder_memo_keeps_letter_runs(monkeypatch):
+    from starloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO_RUNS", 6)
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 4)
+    enc = tokens.Encoder(tokens.tokenizer_file())
+    for text in ("one two, three. two, one; é é. É! a\nb", " a  b ", "x \n y", "a1 b2 c3 d4 e5 f6 g7 h8 one two", " ", "word  word \tword"):
+        assert enc.encode(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert len(enc.rest) <= 10
+    # one memo for both: what other words take is given back before the runs
+    assert {"one", "two"} <= set(enc.rest)
+    enc.rest.make_room()
+    assert all(k.isalpha() for k in enc.rest)
