@@ -42,6 +42,8 @@ SIZE = 2048
 #: Costs in ids of padding.
 SENTENCE_PENALTY, HARD_PENALTY = 8.0, 96.0
 BLOCK = 1 << 18
+#: Bytes of text encoded at once: more hold fewer distinct words in proportion.
+TEXT_BYTES = 4 << 20
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
@@ -54,9 +56,9 @@ def best_cuts(positions, penalties, size: int = SIZE) -> list[int]:
     """
     n = len(positions)
     place = [0, *positions]
-    where = {p: i for i, p in enumerate(place)}
     cost, back = [0.0] * (n + 1), [0] * (n + 1)
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
+    hits, upto = power_steps(np.array(place), size)
+    hit = 0
     queue: deque = deque([(0.0, 0)])
     for j in range(1, n + 1):
         p = place[j]
@@ -66,10 +68,11 @@ def best_cuts(positions, penalties, size: int = SIZE) -> list[int]:
         best = key + size - p
         if p - place[i] & (p - place[i] - 1) == 0:
             best = cost[i]
-        for w in powers:
-            k = where.get(p - w)
-            if k is not None and cost[k] < best:
-                best, i = cost[k], k
+        if hit < upto[j]:
+            for k in hits[hit : upto[j]]:
+                if cost[k] < best:
+                    best, i = cost[k], k
+            hit = upto[j]
         cost[j], back[j] = best + penalties[j - 1], i
         key = cost[j] + p
         while queue and queue[-1][0] >= key:
@@ -82,6 +85,18 @@ def best_cuts(positions, penalties, size: int = SIZE) -> list[int]:
     return cuts[::-1]
 
 
+def power_steps(place: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """The cuts a power of two below ``size`` before each of the ascending places, nearest first, and how many there are up to each place."""
+    at = np.full(place[-1] + 1, -1, np.int32)
+    at[place] = np.arange(len(place))
+    steps = np.full((len(place), (size - 1).bit_length()), -1, np.int32)
+    for k in range(steps.shape[1]):
+        far = np.searchsorted(place, 1 << k)
+        steps[far:, k] = at[place[far:] - (1 << k)]
+    found = steps >= 0
+    return steps[found].tolist(), np.cumsum(found.sum(1)).tolist()
+
+
 def padding(length: int, size: int = SIZE) -> int:
     return 0 if length & (length - 1) == 0 else size - length
 
@@ -103,18 +118,17 @@ class Packer:
         """Pack what is held; unless it is the last, keep the final windows for later."""
         if not self.held:
             return
-        stream = np.concatenate([d[1] for d in self.docs])
+        stream = np.concatenate([d[1] for d in self.docs]).astype("<u4", copy=False)
         edges = np.cumsum([len(d[1]) for d in self.docs])
-        free = np.zeros(len(stream) + 1, bool)
-        free[edges] = True
-        cuts = np.flatnonzero(self.ends[stream]) + 1
-        cuts = np.union1d(cuts, edges)
+        fines = np.full(len(stream) + 1, np.inf, np.float32)
+        fines[1:][self.ends[stream]] = SENTENCE_PENALTY
+        fines[edges] = 0.0
+        cuts = np.flatnonzero(np.isfinite(fines))
         gaps = np.diff(np.r_[0, cuts])
-        hard = [np.arange(c - g + self.size, c, self.size) for c, g in zip(cuts[gaps > self.size], gaps[gaps > self.size], strict=True)]
-        forced = np.concatenate(hard) if hard else np.zeros(0, int)
-        place = np.union1d(cuts, forced).astype(np.int64)
-        fine = np.where(free[place], 0.0, SENTENCE_PENALTY)
-        fine[np.isin(place, forced, assume_unique=True) & ~np.isin(place, cuts, assume_unique=True)] = HARD_PENALTY
+        for c, g in zip(cuts[gaps > self.size], gaps[gaps > self.size], strict=True):
+            fines[c - g + self.size : c : self.size] = HARD_PENALTY
+        place = np.flatnonzero(np.isfinite(fines))
+        fine = fines[place]
         chosen = place[best_cuts(place.tolist(), fine.tolist(), self.size)]
         if not last:
             # the windows near the end may be cut otherwise once more ids are known
@@ -129,7 +143,7 @@ class Packer:
             while at < end:
                 doc = self.docs[k]
                 n = min(len(doc[1]) - used, end - at)
-                yield doc[0], doc[2] + used, n, zlib.crc32(stream[at : at + n].astype("<u4").tobytes()), doc[3], self.sequence, offset
+                yield doc[0], doc[2] + used, n, zlib.crc32(stream[at : at + n]), doc[3], self.sequence, offset
                 at, used, offset = at + n, used + n, offset + n
                 if used == len(doc[1]):
                     k, used = k + 1, 0
@@ -151,6 +165,21 @@ def sentence_ends(path: str) -> np.ndarray:
     return ends
 
 
+def gathered(batches, most: int = TEXT_BYTES):
+    """The columns of ``batches``, several put together up to ``most`` bytes; larger ones come alone."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.concat_batches(held).columns
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held).columns
+
+
 _ends: dict[str, np.ndarray] = {}
 
 
@@ -171,16 +200,16 @@ def pack_documents(docs: DataFrame, *, size: int = SIZE, end_id: int = 1, tokeni
         enc = encoder(path)
         if path not in _ends:
             _ends[path] = sentence_ends(path)
-        tail = np.array([end_id], dtype="<u4").tobytes()
         packer = Packer(_ends[path], size, base=TaskContext.get().partitionId() << 40)
 
         def table(pieces):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pieces, strict=True)], names=PIECES.names)
 
-        for batch in batches:
+        for doc_ids, texts in gathered(batches):
             pieces = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                pieces += packer.add(doc_id, np.frombuffer(enc.encode_bytes(text) + tail, dtype="<u4"))
+            ids, stops = enc.encode_column(texts, end_id)
+            for doc_id, doc in zip(doc_ids.to_pylist(), np.split(ids, stops[:-1]), strict=True):
+                pieces += packer.add(doc_id, doc)
             if pieces:
                 yield table(pieces)
         if pieces := list(packer.flush(True)):

@@ -38,6 +38,48 @@ def test_encoder_equals_library(enc, library):
     assert 50256 in enc.encode("hi <|endoftext|> there").tolist()
 
 
+def test_column_encoder_equals_library(enc, library):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    parts = ["a", "B", "the", "ing", "É", "ÿ", "×", "÷", "ª", "e\u0301", "ß", "я", "日本", "12", "²", "٣", ".", ",", "!?", "_", "'", "'s", "'re", "’", "“", "<|", "<|endoftext|>", "\U0001f600"]
+    blanks = [" ", " ", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\x0b", "\x0c", "\x00", "\x1c", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u3000"]
+    texts = ODD + ["".join(rng.choice(parts if rng.random() < 0.6 else blanks) for _ in range(rng.randrange(0, 14))) for _ in range(3000)]
+    for some, end_id in ((texts, 1), (texts[1:], None), (texts[:1], 1), (texts[:2], None), ([], 1), ([], None)):
+        for kind in (pa.string(), pa.large_string()):
+            ids, ends = enc.encode_column(pa.array([" left out", *some], kind)[1:], end_id)
+            tail = [] if end_id is None else [end_id]
+            assert len(ends) == len(some) and len(ids) == (ends[-1] if some else 0)
+            for text, got in zip(some, np.split(ids, ends[:-1]) if some else [], strict=True):
+                assert got.tolist() == library_ids(library, text) + tail, repr(text)
+
+
+def test_column_encoder_asks_once_for_each_piece(monkeypatch):
+    import pyarrow as pa
+
+    enc = tokens.Encoder(tokens.tokenizer_file())
+    asked = []
+    single = enc.pieces.single
+    monkeypatch.setattr(enc.pieces, "single", lambda run: asked.append(run) or single(run))
+    column = pa.array(["tree house. tree, house! tree\nhouse: tree.\nhouse; tree? house"] * 50)
+    ids, ends = enc.encode_column(column, 1)
+    # no entry of its own for a word with a sign or a line break
+    assert set(enc.pieces) == {"tree", "house", " tree", " house", ".", ",", "!", "\n", ":", ";", "?"}
+    assert len(asked) == len(enc.pieces)
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 5)
+    again, _ = enc.encode_column(pa.array(["other words than before", *column.to_pylist()]), 1)
+    assert len(enc.pieces) <= 5 and again[-len(ids) :].tolist() == ids.tolist()
+
+
+def test_batches_are_gathered_in_order():
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"doc_id": [i], "text": ["x" * n]}) for i, n in enumerate([10, 20, 500, 5, 5, 900, 1])]
+    got = [(ids.to_pylist(), [len(t) for t in texts.to_pylist()]) for ids, texts in packing.gathered(iter(batches), 200)]
+    assert got == [([0, 1], [10, 20]), ([2], [500]), ([3, 4], [5, 5]), ([5], [900]), ([6], [1])]
+    assert list(packing.gathered(iter([]))) == []
+
+
 def test_token_files_round_trip(spark, library):
     rows = [(i * 3 % 17 - 4, t) for i, t in enumerate(ODD)] + [(None, "no id"), (2, "twice"), (2, "twice")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
