@@ -99,11 +99,7 @@ select i_s, dd, dr, rr, round((dd / (nd * (nd - 1) / 2) - 2 * dr / (nd * nr) + r
 def landy_szalay(spark, sf_dir):
     """Survey estimator from data and random counts, normalised by pair numbers."""
     data, rand = galaxies(spark, sf_dir), randoms(spark, sf_dir).withColumn("id", F.monotonically_increasing_id())
-
-    def counts(a, b, name):
-        return correlation.count_smu(a, b, S, NS, 1, BOX).select("i_s", F.col("n").alias(name))
-
-    joined = counts(data, None, "dd").join(counts(data, rand, "dr"), "i_s").join(counts(rand, None, "rr"), "i_s")
+    joined = correlation.survey_counts(data, rand, S, NS, BOX)
     totals = data.agg(F.count(F.lit(1)).alias("nd")).crossJoin(rand.agg(F.count(F.lit(1)).alias("nr")))
     nd, nr = F.col("nd"), F.col("nr")
     dd, dr, rr = F.col("dd") / (nd * (nd - 1) / 2), F.col("dr") / (nd * nr), F.col("rr") / (nr * (nr - 1) / 2)
