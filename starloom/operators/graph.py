@@ -99,8 +99,15 @@ def multiplets(points: DataFrame, links: DataFrame, box: float) -> DataFrame:
 
     Positions are averaged relative to the member with the smallest id.
     """
-    members = components(links, "a_id", "b_id").join(points, F.col("node") == F.col("id"))
-    first = points.select(F.col("id").alias("component"), *[F.col(c).alias(f"_{c}") for c in "xyz"])
+    return centres(points, components(links, "a_id", "b_id"), box)
+
+
+def centres(points: DataFrame, nodes: DataFrame, box: float) -> DataFrame:
+    """As :func:`multiplets`, of groups that are found already: (node, component)."""
+    members = nodes.join(points.select("id", *"xyz"), F.col("node") == F.col("id"))
+    # only a group's first point, wanted once for all its members
+    heads = nodes.where("node = component").join(points, F.col("component") == F.col("id"))
+    first = heads.select("component", *[F.col(c).alias(f"_{c}") for c in "xyz"])
     joined = members.join(first, "component")
     return joined.groupBy("component").agg(F.count(F.lit(1)).alias("size"), *[periodic_mean(c, F.col(f"_{c}"), box).alias(c) for c in "xyz"])
 
