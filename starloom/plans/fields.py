@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from starloom.operators import correlation, mesh, statistics
 from starloom.plans.views import GALAXIES, RANDOMS, differences, query
 from starloom.sources.points import BOX, galaxies, hashed_points, lattice, randoms
+from starloom.sources.shared import cut_lineage
 
 N, CELL = 20, 50
 CORNERS = "(select * from (values (0), (1)) cx(a)), (select * from (values (0), (1)) cy(b)), (select * from (values (0), (1)) cz(c))"
@@ -124,6 +125,11 @@ def _split(spark, sf_dir):
     return statistics.quantile_split(read.withColumn("delta", F.round("delta", 9)), "delta", 5).join(points, "id")
 
 
+def _points_split(spark, sf_dir):
+    """(quantile, x, y, z) of the query points, written down as it is read several times."""
+    return cut_lineage(_split(spark, sf_dir).select("quantile", "x", "y", "z"), "split")
+
+
 ROUNDED = READ.replace("sum(" + share("x", "a"), "round(sum(" + share("x", "a")).replace("/ 125000.0 as delta", "/ 125000.0, 9) as delta")
 
 
@@ -147,7 +153,7 @@ select quantile, i_s, round(sum(xi) / 5, 6) as xi_0, round(5 * sum(xi * (3 * ((i
 )
 def density_split_cross(spark, sf_dir):
     """Multipoles of each density quantile with the catalog: the flagship."""
-    split, points = _split(spark, sf_dir), galaxies(spark, sf_dir)
+    split, points = _points_split(spark, sf_dir), galaxies(spark, sf_dir)
     counts = correlation.complete(correlation.count_smu(split, points, 5, 10, 5, BOX, group=("quantile",), moved="right"), quantile=5, i_s=10, i_mu=5)
     sizes = split.groupBy("quantile").agg(F.count(F.lit(1)).alias("nq"))
     total = points.agg(F.count(F.lit(1)).alias("ng"))
@@ -164,7 +170,7 @@ select quantile, {DS} as i_s, count(*) as n from (select a.quantile, {difference
 )
 def density_split_auto(spark, sf_dir):
     """Auto counts within each density quantile."""
-    counts = correlation.count_smu(_split(spark, sf_dir), None, 5, 20, 1, BOX, group=("quantile",))
+    counts = correlation.count_smu(_points_split(spark, sf_dir), None, 5, 20, 1, BOX, group=("quantile",))
     return counts.select("quantile", "i_s", "n")
 
 

@@ -67,3 +67,13 @@ def test_points_outside_the_box_or_between_cells_are_visited(spark, rows, monkey
     correlation.count_smu(rows.withColumn("x", F.col("x") + 0.5), None, 3, 4, 1, BOX).collect()
     correlation.count_smu(rows.withColumn("w", F.col("w") - 1), None, 3, 4, 1, BOX, weights=True).collect()
     correlation.count_smu(rows.withColumn("x", F.col("x") + 5), None, 3, 4, 1, BOX).collect()
+
+
+def test_density_split_auto_evaluates_its_split_once(spark, small, monkeypatch):
+    from starloom import catalogue
+    from starloom.plans import fields
+
+    labels, cut = [], fields.cut_lineage
+    monkeypatch.setattr(fields, "cut_lineage", lambda df, label: labels.append(label) or cut(df, label))
+    plan = catalogue.queries()["density_split_auto"](spark, small)._jdf.queryExecution().sparkPlan().toString()
+    assert labels == ["split"] and "orders.parquet" not in plan
